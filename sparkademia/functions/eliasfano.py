@@ -1,0 +1,185 @@
+"""Elias-Fano encoding of sorted 64-bit keys, vectorised with numpy."""
+
+from __future__ import annotations
+
+import numpy as np
+
+U64 = np.uint64
+_MAX_LOW = 56
+
+
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """`width` bits of each value, most significant first, one after another."""
+    n = len(values)
+    if not width or not n:
+        return np.zeros(8, np.uint8)
+    shifts = np.arange(width - 1, -1, -1, dtype=U64)
+    parts = []
+    for i in range(0, n, 1 << 15):  # a multiple of 8 values ends on a whole byte
+        v = values[i : i + (1 << 15)]
+        parts.append(np.packbits(((v[:, None] >> shifts) & U64(1)).astype(np.uint8).ravel()))
+    parts.append(np.zeros(8, np.uint8))  # so that any read of 8 bytes stays inside
+    return np.concatenate(parts)
+
+
+def _unpack(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """The values at the positions `at`."""
+    if not width:
+        return np.zeros(len(at), U64)
+    bit = at.astype(np.int64) * width
+    byte, off = bit >> 3, (bit & 7).astype(U64)
+    word = np.zeros(len(at), U64)
+    for k in range(8):
+        word = (word << U64(8)) | packed[byte + k].astype(U64)
+    return (word << off) >> U64(64 - width)
+
+
+class EliasFano:
+    """A sorted set of distinct uint64 keys in about 2 + log2(universe / n) bits each.
+
+    The low bits of each key are packed; the high bits are kept in unary: for each value of the high part, a one per key
+    and then a zero. Counts of zeros per 64-bit word make the select of a zero one binary search.
+    """
+
+    __slots__ = ("n", "base", "width", "low", "high", "zeros", "tops")
+
+    def __init__(self, keys: np.ndarray):
+        keys = np.asarray(keys, U64)
+        self.n = len(keys)
+        self.base = keys[0] if self.n else U64(0)
+        span = int(keys[-1] - self.base) + 1 if self.n else 1
+        self.width = min(_MAX_LOW, max(0, (span // max(self.n, 1)).bit_length() - 1))
+        rel = keys - self.base
+        self.low = _pack(rel & U64((1 << self.width) - 1), self.width)
+        tops = (rel >> U64(self.width)).astype(np.int64)
+        self.tops = int(tops[-1]) + 1 if self.n else 0
+        bits = np.zeros(((self.n + self.tops + 63) // 64 + 1) * 64, np.uint8)
+        bits[tops + np.arange(self.n)] = 1
+        self.high = np.packbits(bits)
+        per_word = 64 - bits.reshape(-1, 64).sum(1, dtype=np.int64)
+        self.zeros = np.concatenate([[0], np.cumsum(per_word)])
+
+    @property
+    def bytes(self) -> int:
+        return self.low.nbytes + self.high.nbytes + self.zeros.nbytes
+
+    def _select0(self, k: np.ndarray) -> np.ndarray:
+        """The position of the k-th zero (from 0) in the unary part."""
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        rest = k - self.zeros[word]
+        bits = np.unpackbits(self.high.reshape(-1, 8)[word], axis=1)
+        seen = np.cumsum(1 - bits, axis=1, dtype=np.int16)
+        return word * 64 + np.argmax(seen > rest[:, None], axis=1)
+
+    def successor_index(self, probes: np.ndarray) -> np.ndarray:
+        """For each probe the index of the smallest key that isn't below it; n where there is none."""
+        probes = np.asarray(probes, U64)
+        out = np.full(len(probes), self.n, np.int64)
+        if not self.n:
+            return out
+        out[probes <= self.base] = 0
+        rel = np.where(probes > self.base, probes - self.base, U64(0))
+        top = (rel >> U64(self.width)).astype(np.int64)
+        inside = np.flatnonzero((probes > self.base) & (top < self.tops))
+        if not len(inside):
+            return out
+        t = top[inside]
+        want = rel[inside] & U64((1 << self.width) - 1)
+        end = self._select0(t) - t
+        at = np.where(t > 0, self._select0(np.maximum(t - 1, 0)) - t + 1, 0)
+        live = at < end
+        while live.any():
+            k = np.flatnonzero(live)
+            below = _unpack(self.low, self.width, at[k]) < want[k]
+            at[k] += below
+            live[k] = below & (at[k] < end[k])
+        out[inside] = at
+        return out
+
+    def keys_at(self, index: np.ndarray) -> np.ndarray:
+        """The keys at some indexes, decoded from the whole unary part."""
+        return self.decode()[index]
+
+    def contains(self, probes: np.ndarray) -> np.ndarray:
+        """Whether each probe is a key: its successor is the probe itself."""
+        probes = np.asarray(probes, U64)
+        at = self.successor_index(probes)
+        found = at < self.n
+        if found.any():
+            k = np.flatnonzero(found)
+            rel = probes[k] - self.base
+            low_equal = _unpack(self.low, self.width, at[k]) == (rel & U64((1 << self.width) - 1))
+            top = (rel >> U64(self.width)).astype(np.int64)
+            ok = (probes[k] >= self.base) & low_equal & (top < self.tops)
+            top = np.where(ok, top, 0)
+            ok &= at[k] < self._select0(top) - top  # the successor lies under the same high part
+            found[k] = ok
+        return found
+
+    def decode(self) -> np.ndarray:
+        if not self.n:
+            return np.zeros(0, U64)
+        ones = np.flatnonzero(np.unpackbits(self.high))[: self.n]
+        tops = (ones - np.arange(self.n)).astype(U64)
+        low = np.concatenate(
+            [_unpack(self.low, self.width, np.arange(i, min(i + (1 << 18), self.n))) for i in range(0, self.n, 1 << 18)]
+        )
+        return self.base + ((tops << U64(self.width)) | low)
+
+    def merge(self, new: np.ndarray) -> "EliasFano":
+        """The union with a sorted batch of keys that aren't in the set."""
+        if not len(new):
+            return self
+        old = self.decode()
+        keys = np.empty(len(old) + len(new), U64)
+        place = np.searchsorted(old, new) + np.arange(len(new))
+        mask = np.ones(len(keys), bool)
+        mask[place] = False
+        keys[place], keys[mask] = new, old
+        return EliasFano(keys)
+
+    def to_bytes(self) -> bytes:
+        head = np.array([self.n, int(self.base), self.width, self.tops, len(self.low)], U64)
+        return head.tobytes() + self.low.tobytes() + self.high.tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "EliasFano":
+        head = np.frombuffer(data, U64, 5)
+        self = cls.__new__(cls)
+        self.n, self.base, self.width, self.tops = int(head[0]), head[1], int(head[2]), int(head[3])
+        body = np.frombuffer(data, np.uint8, offset=40)
+        self.low, self.high = body[: int(head[4])], body[int(head[4]) :]
+        per_word = 64 - np.unpackbits(self.high).reshape(-1, 64).sum(1, dtype=np.int64)
+        self.zeros = np.concatenate([[0], np.cumsum(per_word)])
+        return self
+
+
+class SeenKeys:
+    """Which keys of a stream came before: an Elias-Fano set, and new keys in a small sorted buffer that is merged into
+    it when it exceeds `least` keys and an eighth of the set. Memory stays at the set's size plus that buffer."""
+
+    def __init__(self, initial: EliasFano | None = None, least: int = 1 << 16):
+        self.set = initial or EliasFano(np.zeros(0, U64))
+        self.buffer = np.zeros(0, U64)
+        self.least = least
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """For a batch in order of arrival: whether each key came before, in the batch or earlier."""
+        uniq, first = np.unique(np.asarray(keys, U64), return_index=True)
+        seen = np.ones(len(keys), bool)
+        at = np.searchsorted(self.buffer, uniq)
+        old = np.zeros(len(uniq), bool)
+        inside = at < len(self.buffer)
+        old[inside] = self.buffer[at[inside]] == uniq[inside]
+        old |= self.set.contains(uniq)
+        seen[first] = old
+        fresh = uniq[~old]
+        if len(fresh):
+            self.buffer = np.sort(np.concatenate([self.buffer, fresh]), kind="stable")
+            if len(self.buffer) > max(self.least, self.set.n // 8):
+                self.flush()
+        return seen
+
+    def flush(self) -> EliasFano:
+        self.set, self.buffer = self.set.merge(self.buffer), np.zeros(0, U64)
+        return self.set
