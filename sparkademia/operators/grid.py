@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
@@ -44,7 +45,7 @@ def _basis(t: Column, periods: Sequence[float], harmonics: int) -> list[Column]:
 
 
 def _solver(values: int, size: int, ridge: float):
-    @F.pandas_udf("array<array<double>>")
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def solve(gram: pd.Series, moments: pd.Series) -> pd.Series:
         if not len(gram):
             return pd.Series([], dtype=object)
@@ -54,11 +55,15 @@ def _solver(values: int, size: int, ridge: float):
         i, j = np.triu_indices(size)
         full[:, i, j] = g
         full[:, j, i] = g
-        scale = np.maximum(full[:, 0, 0], 1.0)[:, None]
-        diagonal = np.einsum("nii->ni", full)
-        diagonal += ridge * scale
-        diagonal[:, 0] -= ridge * scale[:, 0] * 0.999999  # the mean is hardly shrunk
-        out = np.linalg.solve(full, m.transpose(0, 2, 1)).transpose(0, 2, 1)
+        # the trend is counted from each key's mean time: shift the basis, solve, shift the solution back
+        shift = np.tile(np.eye(size), (len(g), 1, 1))
+        shift[:, 1, 0] = -full[:, 0, 1] / np.maximum(full[:, 0, 0], 1.0)
+        full = shift @ full @ shift.transpose(0, 2, 1)
+        m = m @ shift.transpose(0, 2, 1)
+        penalty = ridge * np.maximum(full[:, 0, 0], 1.0)
+        np.einsum("nii->ni", full)[:, 1:] += penalty[:, None]
+        np.einsum("nii->ni", full)[:, 0] += 1e-9
+        out = np.linalg.solve(full, m.transpose(0, 2, 1)).transpose(0, 2, 1) @ shift
         return pd.Series([[list(r) for r in x] for x in out])
 
     return solve
