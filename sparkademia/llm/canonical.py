@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkademia.session import Workspace
 
@@ -104,7 +105,7 @@ def _digest(university, name, url, course) -> bytes:
     return hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _program_key(u: pd.Series, n: pd.Series, s: pd.Series, c: pd.Series) -> pd.Series:
     clean = lambda x: [None if v is None or v != v else v for v in x.tolist()]
     return pd.Series([_digest(*r) for r in zip(clean(u), clean(n), clean(s), clean(c))], dtype=object)
