@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkademia.llm import canonical, seen, survivor
+from sparkademia.llm import canonical, leakage, mixing, mojibake, seen, survivor
 from sparkademia.session import table
 
 
@@ -35,8 +35,37 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.copies_of(table(spark, d, "degree_programs"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each test item leaked into."""
+    return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: every use of a document with its shard and place."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of tokens that the mixture reaches."""
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, d, "documents"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The affected documents with their text restored where possible."""
+    return mojibake.restored_documents(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p3_error_rate, p6_found, p6_programmes)}
+    found = (p2_found, p3_found, p6_found, p8_found, p9_mix, p10_found)
+    return {f.__name__: f for f in (*found, p2_survivors, p3_error_rate, p6_programmes, p8_items, p9_shares, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
