@@ -46,7 +46,7 @@ LISTING_PATHS = [
     "/study/courses", "/study/courses/undergraduate", "/study/courses/postgraduate", "/study/courses/research-degree",
 ]
 # Words that mark sitemap addresses worth a visit first.
-SITEMAP_WORDS = "course courses program programs programme programmes degree undergraduate postgraduate master bachelor phd".split()
+SITEMAP_WORDS = "program programme course degree study tuition fee undergraduate postgraduate master bachelor phd".split()
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -56,6 +56,11 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def authority(url: Column) -> Column:
     """Host with port and user info, as written; empty without //."""
     return F.regexp_extract(url, _AUTHORITY, 1)
@@ -108,9 +113,9 @@ def logged_domain(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """Lower case, without fragment, query, a year as a path step, and slashes at the end."""
-    x = F.lower(F.trim(url))
-    x = F.regexp_replace(F.regexp_replace(x, "#.*$", ""), r"\?.*$", "")
-    return F.regexp_replace(F.regexp_replace(x, r"/20\d{2}/", "/"), "/+$", "")
+    x = F.lower(strip(url))
+    x = F.regexp_replace(F.regexp_replace(x, "(?s)#.*", ""), r"(?s)\?.*", "")
+    return F.regexp_replace(F.regexp_replace(x, r"/20\d{2}/", "/"), r"/+\z", "")
 
 
 def country(url: Column, endings=COUNTRIES_SHORT) -> Column:
