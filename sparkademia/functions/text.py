@@ -178,7 +178,7 @@ def name_tokens(text: Column) -> Column:
 
 def domain_bonus(domain: Column, names: Column, weight: float = 0.8, generic: Sequence[str] = GENERIC_NAME_WORDS) -> Column:
     """`weight` for each word of the names that occurs in the domain, generic words aside."""
-    words = F.flatten(F.transform(names, name_tokens))
+    words = F.flatten(F.transform(names, lambda n: name_tokens(n)))
     hits = F.filter(words, lambda t: ~t.isin(*generic) & F.contains(F.lower(domain), t))
     return F.size(hits) * F.lit(weight)
 

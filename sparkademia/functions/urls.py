@@ -189,5 +189,5 @@ def priority_urls(urls: Column, limit: int, words: Sequence[str] = SITEMAP_WORDS
 
 def root_urls(*arrays_and_urls: Column) -> Column:
     """The different root urls of some arrays of urls, in order, without empty ones."""
-    roots = F.transform(F.concat(*arrays_and_urls), root_url)
+    roots = F.transform(F.concat(*arrays_and_urls), lambda u: root_url(u))
     return F.array_distinct(F.filter(roots, lambda r: r.isNotNull() & (r != "")))

@@ -131,7 +131,7 @@ def program_levels(spark: SparkSession, d: str) -> DataFrame:
     FROM n WHERE regexp_matches(line, '[0-9]')""")
 def fee_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every line of a document with a figure: its fee wording and range of amounts."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("p", "line")).where(F.col("line").rlike("[0-9]"))
     r = X.amount_range(F.col("line"))
     return rows.select("doc_id", (F.col("p") + 1).alias("line_no"), X.fee_class(F.col("line")).getField("tuition_type").alias("fee_type"), r.getField("low").alias("low_amount"), r.getField("high").alias("high_amount"))
@@ -140,7 +140,7 @@ def fee_lines(spark: SparkSession, d: str) -> DataFrame:
 @R.query(r"""
     SELECT id, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: length(t) >= 3) AS tokens,
            len(list_filter(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: length(t) >= 3),
-               t -> NOT list_contains(['university', 'college', 'institute', 'school'], t)
+               lambda t: NOT list_contains(['university', 'college', 'institute', 'school'], t)
                     AND contains(lower(split_part(split_part(url, '//', 2), '/', 1)), t))) * 0.8::DOUBLE AS bonus
     FROM universities""")
 def name_tokens(spark: SparkSession, d: str) -> DataFrame:
