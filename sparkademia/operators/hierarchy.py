@@ -34,8 +34,9 @@ class Forest:
     jumps: list[DataFrame] = field(default_factory=list)
 
 
-def _double(space: Workspace, start: DataFrame, total: int | None = None):
-    """Pointer doubling from start (v, a, heads: whether a is a head). Returns (finished, unfinished, jumps).
+def double(space: Workspace, start: DataFrame):
+    """Pointer doubling from start (v, a, heads: whether a is a head). Returns (finished, unfinished, how many are
+    unfinished, jumps).
 
     finished: v, root, depth, near; unfinished: v, a; they lie on circles of parent pointers or below one. A round in
     which no node finishes ends it: depths have no gaps, so nobody deeper can finish either.
@@ -122,7 +123,7 @@ def build_forest(edges: DataFrame, run: str = "run_id", parent: str = "parent_ur
     start = nodes.select("v").join(chosen.select(F.col("c").alias("v"), "a"), "v", "left")
     start = start.join(heads, F.col("a") == F.col("h"), "left").select("v", "a", F.col("h").isNotNull().alias("heads"))
     start = space.write(start, "start")
-    done, stuck, left, jumps = _double(space, start)
+    done, stuck, left, jumps = double(space, start)
     parents = start.select("v", "a")
     if left:
         cut = space.write(_periodic(space, stuck, start.join(stuck.select("v"), "v", "left_semi").select("v", "a")), "cut")
@@ -133,7 +134,7 @@ def build_forest(edges: DataFrame, run: str = "run_id", parent: str = "parent_ur
         again = again.join(cut.select("v", F.lit(True).alias("is_cut")), "v", "left").select("v", F.when(F.col("is_cut").isNull(), F.col("a")).alias("a"))
         again = again.join(heads, F.col("a") == F.col("h"), "left").select("v", "a", F.col("h").isNotNull().alias("heads"))
         again = space.write(again, "start")
-        done2, _, _, jumps2 = _double(space, again)
+        done2, _, _, jumps2 = double(space, again)
         gone = stuck.select("v")
         parents = space.write(parents.join(gone, "v", "left_anti").unionByName(again.select("v", "a")), "parents")
         done = done.unionByName(done2)

@@ -21,14 +21,16 @@ def _q(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""
-    SELECT a.id, b.id AS stored_id FROM (SELECT * FROM tuition_patterns WHERE id % 2 = 0) a LEFT JOIN tuition_patterns b
+    WITH b AS (SELECT degree_level, amount, currency, fee_type, tuition_type, min(id) AS id FROM tuition_patterns GROUP BY ALL)
+    SELECT a.id, b.id AS stored_id FROM tuition_patterns a LEFT JOIN b
     ON a.amount = b.amount AND a.tuition_type = b.tuition_type AND a.degree_level IS NOT DISTINCT FROM b.degree_level
        AND a.currency IS NOT DISTINCT FROM b.currency AND a.fee_type IS NOT DISTINCT FROM b.fee_type""")
 def join_null_safe_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Stored ids of a batch of patterns by a five-column key of which three may be null."""
+    """The stored id of every pattern by a five-column key of which three may be null."""
     p = table(spark, d, "tuition_patterns")
     keys = ["amount", "tuition_type", "degree_level", "currency", "fee_type"]
-    return merge.map_ids(p.where(F.col("id") % 2 == 0), p, keys, null_safe=keys[2:])
+    store = p.groupBy(*keys).agg(F.min("id").alias("id"))
+    return merge.map_ids(p, store, keys, null_safe=keys[2:])
 
 
 @R.query("""
@@ -291,11 +293,11 @@ def quality_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""
-    SELECT domain, list_sort(list(DISTINCT url) FILTER (depth = 0)) AS starts, max(depth) AS max_depth FROM crawl_queue_state WHERE run_id = 1 GROUP BY domain HAVING count(*) FILTER (depth = 0) > 0""")
+    SELECT run_id, domain, list_sort(list(DISTINCT url) FILTER (depth = 0)) AS starts, max(depth) AS max_depth FROM crawl_queue_state GROUP BY run_id, domain HAVING count(*) FILTER (depth = 0) > 0""")
 def targets_to_sites(spark: SparkSession, d: str) -> DataFrame:
-    """The start urls and depth of each site of one run."""
+    """The start urls and depth of each site of each run."""
     starts = F.sort_array(F.collect_set(F.when(F.col("depth") == 0, F.col("url"))))
-    return _q(spark, d).where("run_id = 1").groupBy("domain").agg(starts.alias("starts"), F.max("depth").alias("max_depth")).where(F.size("starts") > 0)
+    return _q(spark, d).groupBy("run_id", "domain").agg(starts.alias("starts"), F.max("depth").alias("max_depth")).where(F.size("starts") > 0)
 
 
 @R.query("""
