@@ -79,11 +79,11 @@ class EliasFano:
             return out
         out[probes <= self.base] = 0
         rel = np.where(probes > self.base, probes - self.base, U64(0))
-        top = (rel >> U64(self.width)).astype(np.int64)
-        inside = np.flatnonzero((probes > self.base) & (top < self.tops))
+        top = rel >> U64(self.width)  # may exceed a signed number
+        inside = np.flatnonzero((probes > self.base) & (top < U64(self.tops)))
         if not len(inside):
             return out
-        t = top[inside]
+        t = top[inside].astype(np.int64)
         want = rel[inside] & U64((1 << self.width) - 1)
         end = self._select0(t) - t
         at = np.where(t > 0, self._select0(np.maximum(t - 1, 0)) - t + 1, 0)
@@ -96,10 +96,6 @@ class EliasFano:
         out[inside] = at
         return out
 
-    def keys_at(self, index: np.ndarray) -> np.ndarray:
-        """The keys at some indexes, decoded from the whole unary part."""
-        return self.decode()[index]
-
     def contains(self, probes: np.ndarray) -> np.ndarray:
         """Whether each probe is a key: its successor is the probe itself."""
         probes = np.asarray(probes, U64)
@@ -109,9 +105,9 @@ class EliasFano:
             k = np.flatnonzero(found)
             rel = probes[k] - self.base
             low_equal = _unpack(self.low, self.width, at[k]) == (rel & U64((1 << self.width) - 1))
-            top = (rel >> U64(self.width)).astype(np.int64)
-            ok = (probes[k] >= self.base) & low_equal & (top < self.tops)
-            top = np.where(ok, top, 0)
+            top = rel >> U64(self.width)
+            ok = (probes[k] >= self.base) & low_equal & (top < U64(self.tops))
+            top = np.where(ok, top, U64(0)).astype(np.int64)
             ok &= at[k] < self._select0(top) - top  # the successor lies under the same high part
             found[k] = ok
         return found
