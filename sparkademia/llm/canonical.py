@@ -47,13 +47,17 @@ def squeeze(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(ch for ch in t if _kept(ch)))
 
 
+#: Invisible characters that join or hyphenate; the zero-width space isn't one, it separates.
+_JOINING = "\u00ad\u200c\u200d\u2060\ufeff"
+
+
 def _words(text: str) -> list[str]:
-    """Words of the folded text; a full stop doesn't end one, so that M.Sc. stays whole."""
+    """Words of the folded text; a full stop doesn't end one, so that M.Sc. stays whole, nor do joining characters."""
     out, word = [], []
     for ch in fold(text):
         if _kept(ch):
             word.append(ch)
-        elif ch != "." and word:
+        elif ch != "." and ch not in _JOINING and word:
             out.append("".join(word))
             word = []
     if word:
