@@ -146,6 +146,12 @@ def _tokens(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode(found).alias("token"))
 
 
+def _sorted(side: DataFrame) -> DataFrame:
+    """A side that must not be broadcast: words repeat so much that their files are a hundredth of what they take in memory,
+    so the planner would think it small."""
+    return side.hint("merge")
+
+
 def _garbled_vocabulary(space: Workspace, tokens: DataFrame) -> DataFrame:
     """(token, original, chain): the corpus's tokens that are a garbled form of another token of the corpus."""
     vocabulary = space.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
@@ -166,7 +172,7 @@ def _garbled_vocabulary(space: Workspace, tokens: DataFrame) -> DataFrame:
 
     table = vocabulary.mapInArrow(run, "token string, original string, chain int, n_original long")
     # the key of the join is a hash, so that whole paragraphs of scripts without spaces aren't moved twice
-    hit = table.withColumn("h", F.xxhash64("token")).join(vocabulary.select(F.xxhash64("token").alias("h"), F.col("token").alias("seen"), "n"), "h")
+    hit = table.withColumn("h", F.xxhash64("token")).join(_sorted(vocabulary.select(F.xxhash64("token").alias("h"), F.col("token").alias("seen"), "n")), "h")
     two_way = F.col("chain").isin(TWO_WAY)
     sure = ~two_way | (F.col("n_original") > 2 * F.col("n"))
     return space.write(hit.where((F.col("token") == F.col("seen")) & sure).select("token", "original", "chain", "n", "n_original"), "garbled")
@@ -178,7 +184,7 @@ def _flagged(documents: DataFrame) -> tuple[Workspace, DataFrame, DataFrame, Dat
     tokens = _tokens(docs)
     garbled = _garbled_vocabulary(space, tokens)
     flagged_words = garbled.select("token").distinct().select(F.xxhash64("token").alias("h"))
-    by_word = tokens.select("doc_id", F.xxhash64("token").alias("h")).join(flagged_words, "h", "left_semi").select("doc_id")
+    by_word = tokens.select("doc_id", F.xxhash64("token").alias("h")).join(_sorted(flagged_words), "h", "left_semi").select("doc_id")
     return space, docs, garbled, by_word
 
 
@@ -258,10 +264,10 @@ def restored_documents(documents: DataFrame) -> DataFrame:
     best = space.write(best.select("token", F.col("m.original").alias("original"), (-F.col("m.col3")).alias("chain")), "originals")
     for _ in range(2):  # an original may be garbled itself
         further = best.select(F.col("token").alias("original"), F.col("original").alias("next"))
-        best = best.join(further, "original", "left").select("token", F.coalesce("next", "original").alias("original"), "chain")
+        best = best.join(_sorted(further), "original", "left").select("token", F.coalesce("next", "original").alias("original"), "chain")
     best = space.write(best, "originals").withColumn("h", F.xxhash64("token"))
     tokens = _tokens(docs.join(found, "doc_id", "left_semi")).withColumn("h", F.xxhash64("token"))
-    per_doc = tokens.join(best.select("h", "original", "chain"), "h").groupBy("doc_id").agg(
+    per_doc = tokens.join(_sorted(best.select("h", "original", "chain")), "h").groupBy("doc_id").agg(
         F.collect_set(F.struct("token", "original", "chain")).alias("known")
     )
 
