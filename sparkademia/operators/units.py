@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkademia.session import Workspace
+
 # How currencies are written, as regular expressions over the lower-cased text, in order of precedence.
 CURRENCY_WORDS = [
     ("AUD", r"\baud\b|au ?\$|\ba ?\$|\baus(tralian)? dollar|aud"),
@@ -176,13 +178,10 @@ class CurrencyModel:
         x = VectorAssembler(inputCols=[f"__x_{f}" for f in FEATURES], outputCol="__features").transform(x)
         self.forest.setFeaturesCol("__features").setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__y")
         x = self.forest.transform(x).withColumn("__top", F.array_max(vector_to_array("__p")))
-        xs, ys = list(self.calibration.boundaries), list(self.calibration.predictions)
-        p = F.lit(float(ys[0]))
-        for (x0, y0), (x1, y1) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):  # piecewise linear
-            w = (F.col("__top") - float(x0)) / float(max(x1 - x0, 1e-12))
-            p = F.when(F.col("__top") >= float(x0), F.lit(float(y0)) + F.least(w, F.lit(1.0)) * float(y1 - y0)).otherwise(p)
+        self.calibration.setFeaturesCol("__top").setPredictionCol("probability")
+        x = self.calibration.transform(x)
         code = F.element_at(F.array(*[F.lit(c) for c in self.labels]), F.col("__y").cast("int") + 1)
-        return x.select(*names, code.alias("predicted_iso"), p.alias("probability"))
+        return x.select(*names, code.alias("predicted_iso"), "probability")
 
 
 def normalise_fees(
@@ -215,7 +214,7 @@ def normalise_fees(
         p = p.join(sources.select(F.col("pattern_id").alias("id"), "country"), "id", "left")
     else:
         p = p.withColumn("country", F.lit(None).cast("string"))
-    x = _features(p)
+    x = Workspace(patterns.sparkSession, "fees").write(_features(p), "features")  # read for training and for both kinds of rows
     if model is None:
         model = CurrencyModel().fit(x.where("stated_iso IS NOT NULL AND amount IS NOT NULL").withColumnRenamed("stated_iso", "iso"), codes)
     known = x.where("stated_iso IS NOT NULL").select("*", F.col("stated_iso").alias("iso_currency"), F.lit(1.0).alias("probability"), F.lit("stated").alias("unit_source"))
