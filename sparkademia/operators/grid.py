@@ -75,7 +75,7 @@ def regular_grid(
     time: Column,
     values: Sequence[str],
     step: int = 30,
-    periods: Sequence[float] = (3600.0, 86400.0),
+    periods: Sequence[float] = (86400.0,),
     harmonics: int = 2,
     ridge: float = 1e-3,
     chunk_slots: int = 960,
