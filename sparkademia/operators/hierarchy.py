@@ -257,22 +257,23 @@ def nested_sets(forest: Forest, paths: bool = True) -> DataFrame:
     offsets = kids.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).join(by_part, ["a", "part"])
     offsets = offsets.select("v", (F.col("before_part") + F.col("before") + 1).alias("off"))
     at = sizes.join(offsets, "v", "left").select("v", "size", F.coalesce("off", F.lit(0)).alias("off"))
-    url = forest.nodes.select("v", "url")
+    at = forest.state.select("v", "root", "depth").join(at, "v")
     if paths:
-        at = at.join(url, "v").withColumn("path", F.array("url")).drop("url")
-    at = space.write(at, "offset")
-    for jump in forest.jumps:
-        above = at.select(F.col("v").alias("a"), F.col("off").alias("above_off"), *([F.col("path").alias("above_path")] if paths else []))
-        more = jump.join(above, "a").drop("a")
-        cols = [F.col("off") + F.coalesce("above_off", F.lit(0))]
-        out = at.join(more, "v", "left").select(
-            "v", "size", cols[0].alias("off"),
-            *([F.when(F.col("above_path").isNull(), F.col("path")).otherwise(F.concat("above_path", "path")).alias("path")] if paths else []),
-        )
-        at = space.write(out, "offset")
-    return forest.state.select("v", "root", "depth").join(at, "v").select(
-        "v", "root", "depth", "size", (F.col("off") + 1).alias("lft"), (F.col("off") + F.col("size")).alias("rgt"), *(["path"] if paths else [])
-    )
+        at = at.join(forest.nodes.select("v", F.array("url").alias("path")), "v")
+    # after round k the pages less than 2^k deep are done and stay in the part they are in; only deeper ones are written on
+    part, done = space.write(at, "offset"), None
+    for k, jump in enumerate(forest.jumps):
+        ready = part.where(F.col("depth") < (1 << k))
+        done = ready if done is None else done.unionByName(ready)
+        own = part.where(F.col("depth") >= (1 << k))
+        every = done.unionByName(own)
+        above = every.select(F.col("v").alias("a"), F.col("off").alias("more"), *([F.col("path").alias("head")] if paths else []))
+        out = own.join(jump, "v").join(above, "a").select(
+            "v", "root", "depth", "size", (F.col("off") + F.col("more")).alias("off"), *([F.concat("head", "path").alias("path")] if paths else [])
+        )
+        part = space.write(out, "offset")
+    every = part if done is None else done.unionByName(part)
+    return every.select("v", "root", "depth", "size", (F.col("off") + 1).alias("lft"), (F.col("off") + F.col("size")).alias("rgt"), *(["path"] if paths else []))
 
 
 def hierarchy(edges: DataFrame, paths: bool = True, **columns: str) -> DataFrame:
