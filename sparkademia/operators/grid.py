@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkademia.session import Workspace
 
 
 def epoch_seconds(text: Column) -> Column:
@@ -75,7 +76,7 @@ def regular_grid(
     time: Column,
     values: Sequence[str],
     step: int = 30,
-    periods: Sequence[float] = (86400.0,),
+    periods: Sequence[float] = (3600.0, 86400.0),
     harmonics: int = 2,
     ridge: float = 1e-3,
     chunk_slots: int = 960,
@@ -92,7 +93,7 @@ def regular_grid(
     all readings is spread; only each key's small system (2 + 2 * harmonics * periods unknowns) is solved in one place.
     Gaps are found within chunks of `chunk_slots` slots; the chunks' first and last slots bridge their borders. A key with
     one slot has one row, without usable readings none. Repeated and late readings are averaged. An empty table gives no
-    rows; other columns aren't read.
+    rows; other columns aren't read. The observed slots are written once, so that each time is parsed once.
     """
     fine = [F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")) & (F.col(v) >= 0) for v in values]
     ok = F.col("__k").isNotNull() & F.col("__t").isNotNull()
@@ -104,6 +105,7 @@ def regular_grid(
         .agg(F.count(F.lit(1)).alias("__n"), *[F.avg(f"__y{i}").alias(f"__y{i}") for i in range(n)])
         .withColumn("__c", F.floor(F.col("__s") / (step * chunk_slots)).cast("long"))
     )
+    slots = Workspace(readings.sparkSession, "grid").write(slots, "slots")
     # normal equations; time is counted from the chunk-independent origin 2020 in days to keep the sums small
     t = (F.col("__s") - F.lit(1577836800)) / F.lit(86400.0)
     basis = _basis(t, [p / 86400.0 for p in periods], harmonics)
