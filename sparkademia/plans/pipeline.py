@@ -17,8 +17,8 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     """Page records made from the documents: the first line is the title, each line with a figure a degree."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[0-9]{4}"))
     degree = lambda x: F.struct(
-        F.substring(x, 1, 20).alias("name"), F.regexp_extract(x, "([0-9]{4})", 1).cast("long").alias("price"), F.when(x.contains("£"), "GBP").when(x.contains("$"), "USD").alias("currency"),
-        F.when(x.contains("Engineering"), "engineering").otherwise("general").alias("course_type"), x.contains("online").alias("is_online"), F.lit(None).cast("string").alias("limit"), F.substring(x, 1, 40).alias("context"),
+        x.alias("name"), F.regexp_extract(x, "([0-9]{4})", 1).cast("long").alias("price"), F.when(x.contains("£"), "GBP").when(x.contains("$"), "USD").alias("currency"),
+        F.when(x.contains("Engineering"), "engineering").otherwise("general").alias("course_type"), x.contains("online").alias("is_online"), F.lit(None).cast("string").alias("limit"), x.alias("context"),
         F.lit(None).cast("string").alias("tuition_type"), F.lit(None).cast("long").alias("amount_min"), F.lit(None).cast("long").alias("amount_max"),
         F.lit(None).cast("double").alias("normalized_monthly_amount"), F.lit(None).cast("string").alias("normalization_note"),
     )

@@ -1,5 +1,6 @@
 """Sources, page reading, merges, access-log analysis and streaming state on small fixtures."""
 
+import datetime
 import json
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkademia.functions import html, text, urls
 from sparkademia.operators import accesslog, frontier, merge, relational, transform
+from sparkademia.plans import pipeline
 from sparkademia.sources import files, stores
 from sparkademia.streaming import queue_log, state
 
@@ -211,6 +213,14 @@ def test_slots():
     assert queue_log.is_stalled(p, 3, 900) and not queue_log.is_stalled(p, 0, 900) and not queue_log.is_stalled(p, 3, 1000)
 
 
+def test_degree_level_stands_anywhere_in_a_line(spark, tmp_path):
+    line = "Fees for the coming academic year, full-time: £9250 MSc Informatics"
+    docs = spark.createDataFrame([(1, "https://a.edu/x", "Informatics\n" + line, datetime.datetime(2026, 1, 5))], "doc_id long, url string, text string, fetched_at timestamp")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    patterns = pipeline.transform_patterns(spark, str(tmp_path)).collect()
+    assert [(r.degree_level, r.amount, r.currency) for r in patterns] == [("Master", 9250, "GBP")]
+
+
 def test_task_stream_first_seen(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
