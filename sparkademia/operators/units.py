@@ -71,7 +71,18 @@ def stated_currency(currency: Column, note: Column) -> Column:
 def stated_scale(currency: Column, note: Column) -> Column:
     """Whole units in one unit of the amount, by the currency text, else by the note; 1 where neither says."""
     c, n = F.lower(F.trim(F.coalesce(currency, F.lit("")))), F.lower(F.coalesce(note, F.lit("")))
-    return F.coalesce(_first_match(c, CURRENCY_SCALES), _first_match(n, NOTE_SCALES), F.lit(1.0))
+    return F.coalesce(_named_scale(c, n), F.lit(1.0))
+
+
+def _named_scale(c: Column, n: Column) -> Column:
+    return F.coalesce(_first_match(c, CURRENCY_SCALES), _first_match(n, NOTE_SCALES))
+
+
+def scale_is_open(currency: Column, note: Column) -> Column:
+    """Whether nothing states the scale: a currency that is named without one counts in whole units, so only where neither
+    currency nor scale is named."""
+    c, n = F.lower(F.trim(F.coalesce(currency, F.lit("")))), F.lower(F.coalesce(note, F.lit("")))
+    return stated_currency(currency, note).isNull() & _named_scale(c, n).isNull()
 
 
 def stated_months(tuition_type: Column, note: Column) -> Column:
@@ -86,8 +97,13 @@ def stated_months(tuition_type: Column, note: Column) -> Column:
     by_type = F.lit(None).cast("int")
     for name, value in TYPE_MONTHS.items():
         by_type = F.when(F.lower(F.trim(tuition_type)) == name, F.lit(value)).otherwise(by_type)
-    piece = n.rlike(NOT_A_PERIOD_PRICE) | F.coalesce(F.lower(F.trim(tuition_type)).isin(*PIECE_TYPES), F.lit(False))
-    return F.when(piece, F.lit(None)).otherwise(F.coalesce(words, by_type)).cast("int")
+    return F.when(piece_price(tuition_type, note), F.lit(None)).otherwise(F.coalesce(words, by_type)).cast("int")
+
+
+def piece_price(tuition_type: Column, note: Column) -> Column:
+    """Whether the amount is a range or a price per credit, course or module, which pays for no period."""
+    n = F.lower(F.coalesce(note, F.lit("")))
+    return n.rlike(NOT_A_PERIOD_PRICE) | F.coalesce(F.lower(F.trim(tuition_type)).isin(*PIECE_TYPES), F.lit(False))
 
 
 def pattern_sources(program_map: DataFrame, programs: DataFrame, universities: DataFrame) -> DataFrame:
@@ -104,6 +120,9 @@ def pattern_sources(program_map: DataFrame, programs: DataFrame, universities: D
 
 
 FEATURES = ["log_amount", "months", "level_code", "fee_code", "type_code", "country_code", "log_monthly", "ratio"]
+#: What says something of a period, and of a scale (before the scale is applied).
+PERIOD_FEATURES = [f for f in FEATURES if f != "months"] + ["iso_code"]
+SCALE_FEATURES = ["raw_amount", "months", "level_code", "fee_code", "type_code", "country_code", "log_monthly", "raw_ratio"]
 
 
 def _code(c: Column, buckets: int = 32) -> Column:
@@ -111,32 +130,42 @@ def _code(c: Column, buckets: int = 32) -> Column:
     return F.when(c.isNull() | (F.trim(c) == ""), F.lit(-1.0)).otherwise(F.pmod(F.xxhash64(F.lower(F.trim(c))), F.lit(buckets)).cast("double"))
 
 
+def _amounts(amount: Column, names: tuple[str, str]) -> dict[str, Column]:
+    """The magnitude of an amount, and of its ratio to the given monthly amount."""
+    monthly = F.greatest(F.col("monthly_given").cast("double"), F.lit(1e-3))
+    low = F.greatest(amount, F.lit(1e-3))
+    return {names[0]: F.coalesce(F.log10(low), F.lit(-9.0)), names[1]: F.coalesce(F.log10(low / monthly), F.lit(-9.0))}
+
+
+def _scaled(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(_amounts(F.col("amount").cast("double") * F.col("scale"), ("log_amount", "ratio")))
+
+
 def _features(rows: DataFrame) -> DataFrame:
-    amount = F.col("amount").cast("double") * F.col("scale")
     monthly = F.col("monthly_given").cast("double")
-    return rows.select(
+    rows = rows.select(
         "*",
-        F.coalesce(F.log10(F.greatest(amount, F.lit(1e-3))), F.lit(-9.0)).alias("log_amount"),
         _code(F.col("degree_level")).alias("level_code"),
         _code(F.col("fee_type")).alias("fee_code"),
         _code(F.col("tuition_type")).alias("type_code"),
         _code(F.col("country")).alias("country_code"),
         F.coalesce(F.log10(F.greatest(monthly, F.lit(1e-3))), F.lit(-9.0)).alias("log_monthly"),
-        F.coalesce(F.log10(F.greatest(amount, F.lit(1e-3)) / F.greatest(monthly, F.lit(1e-3))), F.lit(-9.0)).alias("ratio"),
     )
+    return _scaled(rows.withColumns(_amounts(F.col("amount").cast("double"), ("raw_amount", "raw_ratio"))))
 
 
 class CurrencyModel:
     """A random forest over the labelled rows, its top probability calibrated by isotonic regression on rows that the
-    forest hasn't seen."""
+    forest hasn't seen. It predicts currencies, and with another `target` and its `features` periods and scales."""
 
-    def __init__(self, sample_rows: int = 20_000, trees: int = 24, depth: int = 8, seed: int = 7):
+    def __init__(self, sample_rows: int = 20_000, trees: int = 24, depth: int = 8, seed: int = 7, target: str = "iso", features: list[str] = FEATURES):
         self.sample_rows, self.trees, self.depth, self.seed = sample_rows, trees, depth, seed
+        self.target, self.features = target, features
         self.forest = self.calibration = None
         self.labels: list[str] = []
 
     def fit(self, rows: DataFrame, codes: list[str]) -> "CurrencyModel":
-        """rows: FEATURES and iso. At most `sample_rows` of them, those with the lowest hash of their id, are used: the
+        """rows: the features and the target. At most `sample_rows` of them, those with the lowest hash of their id, are used: the
         one bound of this operator, and only of its training."""
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.feature import VectorAssembler
@@ -144,14 +173,16 @@ class CurrencyModel:
         from pyspark.ml.regression import IsotonicRegression
 
         self.labels = sorted(codes)
-        label = F.array_position(F.array(*[F.lit(c) for c in self.labels]), F.col("iso")) - 1
+        if not self.labels:
+            return self
+        label = F.array_position(F.array(*[F.lit(c) for c in self.labels]), F.col(self.target)) - 1
         some = (
-            rows.where(F.col("iso").isin(*self.labels))
+            rows.where(F.col(self.target).isin(*self.labels))
             .orderBy(F.xxhash64("id", F.lit(self.seed)), "id")
             .limit(self.sample_rows)
-            .select(label.cast("double").alias("label"), F.pmod(F.xxhash64("id"), F.lit(4)).alias("fold"), *[F.coalesce(F.col(f), F.lit(-1)).cast("double").alias(f) for f in FEATURES])
+            .select(label.cast("double").alias("label"), F.pmod(F.xxhash64("id"), F.lit(4)).alias("fold"), *[F.coalesce(F.col(f), F.lit(-1)).cast("double").alias(f) for f in self.features])
         )
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(some).select("label", "fold", "features").persist()
+        vectors = VectorAssembler(inputCols=self.features, outputCol="features").transform(some).select("label", "fold", "features").persist()
         train, held = vectors.where("fold > 0"), vectors.where("fold = 0")
         if train.limit(10).count() < 10 or held.limit(1).count() < 1:
             vectors.unpersist()
@@ -167,21 +198,23 @@ class CurrencyModel:
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Adds predicted_iso and its calibrated probability; both null if there was nothing to learn from."""
+        """Adds predicted_ and the target's name, and its calibrated probability; both null if there was nothing to learn
+        from."""
+        found = f"predicted_{self.target}"
         if self.forest is None:
-            return rows.select("*", F.lit(None).cast("string").alias("predicted_iso"), F.lit(None).cast("double").alias("probability"))
+            return rows.select("*", F.lit(None).cast("string").alias(found), F.lit(None).cast("double").alias("probability"))
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
         names = rows.columns
-        x = rows.select("*", *[F.coalesce(F.col(f), F.lit(-1)).cast("double").alias(f"__x_{f}") for f in FEATURES])
-        x = VectorAssembler(inputCols=[f"__x_{f}" for f in FEATURES], outputCol="__features").transform(x)
+        x = rows.select("*", *[F.coalesce(F.col(f), F.lit(-1)).cast("double").alias(f"__x_{f}") for f in self.features])
+        x = VectorAssembler(inputCols=[f"__x_{f}" for f in self.features], outputCol="__features").transform(x)
         self.forest.setFeaturesCol("__features").setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__y")
         x = self.forest.transform(x).withColumn("__top", F.array_max(vector_to_array("__p")))
         self.calibration.setFeaturesCol("__top").setPredictionCol("probability")
         x = self.calibration.transform(x)
         code = F.element_at(F.array(*[F.lit(c) for c in self.labels]), F.col("__y").cast("int") + 1)
-        return x.select(*names, code.alias("predicted_iso"), "probability")
+        return x.select(*names, code.alias(found), "probability")
 
 
 def normalise_fees(
@@ -193,49 +226,79 @@ def normalise_fees(
 ) -> DataFrame:
     """Each pattern's monthly amount in its own currency and in US dollars.
 
-    Columns: id, iso_currency, unit_source (stated, predicted, review), probability (1 for stated units), scale, months,
+    Columns: id, iso_currency, unit_source (stated, predicted, review), period_source (the same of the period alone, null
+    where none applies), probability (1 for stated units, else that of all predictions together), scale, months,
     monthly_given (the table's own value), monthly (computed), monthly_usd, off (whether monthly_given is missing or more
     than 1 % off).
 
-    A currency that neither currency nor note names is predicted by `model`; from a calibrated probability of
-    `confident` on it is used, below it the row gets unit_source review and no amounts. Rows whose predicted currency
-    isn't in `rates` get no US-dollar value. Without amount or period, or for ranges and prices per credit or course,
-    monthly and off are null. Amounts of 0 give 0. Repeated ids stay as rows. Empty tables give no rows; with no
-    labelled rows nothing is predicted. Other columns aren't read.
+    What neither fields nor note state is predicted, each by a forest trained on rows that state it: the scale where
+    neither it nor a currency is named (a named currency without scale counts in whole units), the currency (by `model`),
+    and the period of an amount that isn't a range or a price per credit or course. Periods are learnt from rows whose
+    tuition type doesn't name it, as it doesn't in the rows they are predicted for. A prediction is used from a calibrated
+    probability of `confident` on; if one is below, the row gets unit_source review and no amounts, and what isn't known
+    of its units is null. Rows whose predicted currency isn't in `rates` get no US-dollar value. Without amount, or for
+    ranges and prices per credit or course, monthly and off are null. Amounts of 0 give 0. Repeated ids stay as rows.
+    Empty tables give no rows; with no labelled rows nothing is predicted. Other columns aren't read.
     """
+    currency, note, kind = F.col("currency"), F.col("normalization_note"), F.col("tuition_type")
     p = patterns.select(
         "id", "amount", "degree_level", "fee_type", "tuition_type", F.col("normalized_monthly_amount").alias("monthly_given"),
-        stated_currency(F.col("currency"), F.col("normalization_note")).alias("stated_iso"),
-        stated_scale(F.col("currency"), F.col("normalization_note")).alias("scale"),
-        stated_months(F.col("tuition_type"), F.col("normalization_note")).alias("months"),
-    )
+        stated_currency(currency, note).alias("stated_iso"),
+        stated_scale(currency, note).alias("scale"),
+        stated_months(kind, note).alias("months"),
+        (F.col("amount").isNotNull() & scale_is_open(currency, note)).alias("scale_open"),
+        (F.col("amount").isNotNull() & stated_months(kind, note).isNull() & ~piece_price(kind, note)).alias("period_open"),
+        F.coalesce(F.lower(F.trim(kind)).isin(*TYPE_MONTHS), F.lit(False)).alias("typed"),
+    )
     codes = sorted(r[0] for r in rates.select("currency").where(F.col("currency").isNotNull()).distinct().limit(1000).collect())
     if sources is not None:
         p = p.join(sources.select(F.col("pattern_id").alias("id"), "country"), "id", "left")
     else:
         p = p.withColumn("country", F.lit(None).cast("string"))
-    x = Workspace(patterns.sparkSession, "fees").write(_features(p), "features")  # read for training and for both kinds of rows
+    space = Workspace(patterns.sparkSession, "fees")
+    x = space.write(_features(p), "features")  # read for training and for all kinds of rows
+    labelled = x.where("stated_iso IS NOT NULL AND amount IS NOT NULL")
+
+    def learnt(rows: DataFrame, target: str, features: list[str], wanted: DataFrame) -> CurrencyModel:
+        found = [] if wanted.isEmpty() else [r[0] for r in rows.select(target).distinct().limit(1000).collect()]
+        return CurrencyModel(target=target, features=features).fit(rows, found)
+
+    def apply(rows: DataFrame, m: CurrencyModel, where: str, name: str) -> DataFrame:
+        """Adds `name` (what is predicted, null where unsure) and its probability for the rows of `where`."""
+        guessed = m.predict(rows.where(where))
+        sure = F.coalesce(F.col("probability") >= confident, F.lit(False)) & F.col("amount").isNotNull()
+        guessed = guessed.select(*rows.columns, F.when(sure, F.col(f"predicted_{m.target}")).alias(name), F.col("probability").alias(f"{name}_p"))
+        other = rows.where(f"NOT ({where})").select("*", F.lit(None).cast("string").alias(name), F.lit(1.0).alias(f"{name}_p"))
+        return other.unionByName(guessed)
+
+    scales = labelled.withColumn("scale_text", F.col("scale").cast("string"))
+    x = apply(x, learnt(scales, "scale_text", SCALE_FEATURES, x.where("scale_open")), "scale_open", "scale_found")
+    x = _scaled(x.withColumn("scale", F.when(F.col("scale_open"), F.col("scale_found").cast("double")).otherwise(F.col("scale"))))
     if model is None:
-        model = CurrencyModel().fit(x.where("stated_iso IS NOT NULL AND amount IS NOT NULL").withColumnRenamed("stated_iso", "iso"), codes)
-    known = x.where("stated_iso IS NOT NULL").select("*", F.col("stated_iso").alias("iso_currency"), F.lit(1.0).alias("probability"), F.lit("stated").alias("unit_source"))
-    guessed = model.predict(x.where("stated_iso IS NULL"))
-    sure = F.coalesce(F.col("probability") >= confident, F.lit(False)) & F.col("amount").isNotNull()
-    guessed = guessed.select(
-        *x.columns,
-        F.when(sure, F.col("predicted_iso")).alias("iso_currency"),
-        "probability",
-        F.when(sure, F.lit("predicted")).otherwise(F.lit("review")).alias("unit_source"),
-    )
-    monthly = F.col("amount").cast("double") * F.col("scale") / F.col("months")
+        model = CurrencyModel().fit(labelled.withColumnRenamed("stated_iso", "iso"), codes)
+    x = apply(x, model, "stated_iso IS NULL", "iso_found")
+    x = x.withColumn("iso_currency", F.coalesce("stated_iso", "iso_found")).withColumn("iso_code", _code(F.col("iso_currency")))
+    x = space.write(x, "currencies")
+    periods = x.where("stated_iso IS NOT NULL AND amount IS NOT NULL AND months IS NOT NULL AND NOT typed").withColumn("months_text", F.col("months").cast("string"))
+    x = apply(x, learnt(periods, "months_text", PERIOD_FEATURES, x.where("period_open")), "period_open", "months_found")
+    months = F.coalesce("months", F.col("months_found").cast("int"))
+    unsure = F.col("iso_currency").isNull() | (F.col("scale_open") & F.col("scale").isNull()) | (F.col("period_open") & F.col("months_found").isNull())
+    some = F.col("stated_iso").isNull() | F.col("scale_open") | F.col("period_open")
+    x = x.select(
+        "id", F.when(F.col("stated_iso").isNotNull() | ~unsure, F.col("iso_currency")).alias("iso_currency"), "amount", "monthly_given", "scale", months.alias("months"),
+        F.when(unsure, "review").when(some, "predicted").otherwise("stated").alias("unit_source"),
+        F.when(F.col("period_open"), F.when(F.col("months_found").isNull(), "review").otherwise("predicted")).when(F.col("months").isNotNull(), "stated").alias("period_source"),
+        (F.col("scale_found_p") * F.col("iso_found_p") * F.col("months_found_p")).alias("probability"),
+    )
+    monthly = F.when(F.col("unit_source") != "review", F.col("amount").cast("double") * F.col("scale") / F.col("months"))
     given = F.col("monthly_given").cast("double")
     off = given.isNull() | (F.abs(given - F.col("monthly")) > F.lit(0.01) * F.abs(F.col("monthly")))
     rate = rates.select(F.col("currency").alias("iso_currency"), F.col("usd_per_unit"))
     return (
-        known.unionByName(guessed)
-        .withColumn("monthly", F.when(F.col("iso_currency").isNotNull(), monthly))
+        x.withColumn("monthly", monthly)
         .join(rate, "iso_currency", "left")
         .select(
-            "id", "iso_currency", "unit_source", "probability", "scale", "months", "monthly_given", "monthly",
+            "id", "iso_currency", "unit_source", "period_source", "probability", "scale", "months", "monthly_given", "monthly",
             (F.col("monthly") * F.col("usd_per_unit")).alias("monthly_usd"),
             F.when(F.col("monthly").isNotNull(), off).alias("off"),
         )
@@ -243,5 +306,6 @@ def normalise_fees(
 
 
 def wrong_fees(normalised: DataFrame) -> DataFrame:
-    """(id, iso_currency) of the rows of `normalise_fees` whose own monthly amount is missing or off."""
-    return normalised.where("off").select("id", "iso_currency").distinct()
+    """(id, iso_currency) of the rows of `normalise_fees` that state their period and whose own monthly amount is missing
+    or off."""
+    return normalised.where("off AND period_source = 'stated'").select("id", "iso_currency").distinct()

@@ -62,6 +62,31 @@ def test_fee_model_and_review(spark):
     assert all(r.iso_currency is None and r.monthly is None and r.off is None for r in out.values() if r.unit_source == "review")
 
 
+def test_missing_periods_are_predicted_or_reviewed(spark):
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        months = 36 if i % 2 else 3
+        amount = Decimal(rng.randint(30_000, 60_000) if i % 2 else rng.randint(1_000, 2_000))
+        rows.append((i, "Master", amount, "GBP", "tuition", "total", amount / months, f"{months} months" if i % 10 > 1 else None, "x", 9))
+    rows += [(1000, "Master", Decimal(9000), "GBP", "tuition", "per_credit", None, None, "x", 9), (1001, "Master", None, "GBP", "tuition", "total", None, None, "x", 9)]
+    rates = spark.createDataFrame([("GBP", 1.31)], "currency string, usd_per_unit double")
+    fees = units.normalise_fees(spark.createDataFrame(rows, PATTERNS), rates).cache()
+    out = {r.id: r for r in fees.collect()}
+    lacking = [r for r in out.values() if r.id < 1000 and r.id % 10 < 2]
+    assert len(lacking) == 120 and {r.unit_source for r in lacking} <= {"predicted", "review"}
+    right = [r for r in lacking if r.unit_source == "predicted" and r.months == (36 if r.id % 2 else 3) and r.monthly is not None]
+    assert len(right) >= 108
+    assert out[1000].period_source is None and out[1000].monthly is None and out[1001].period_source is None
+    alone = [r[:7] + (None,) + r[8:] for r in rows[:30]]
+    few = units.normalise_fees(spark.createDataFrame(alone, PATTERNS), rates).collect()
+    assert {(r.unit_source, r.iso_currency, r.monthly) for r in few} == {("review", "GBP", None)}
+    assert units.wrong_fees(fees).where("id % 10 < 2").count() == 0
+    fees.unpersist()
+
+
 def test_fees_empty_and_unlabelled(spark):
     rates = spark.createDataFrame([("GBP", 1.31)], "currency string, usd_per_unit double")
     empty = spark.createDataFrame([], PATTERNS)
