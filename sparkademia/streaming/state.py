@@ -86,7 +86,9 @@ def reserve_slots(requests: DataFrame, idle_sec: int | None = IDLE_SEC) -> DataF
     forgotten after `idle_sec` of the clock without rows; with None never, as for a stream that ends (Spark goes on with
     empty batches for as long as a clock timeout may strike).
 
-    Rows of a domain are handled one after another; domains are spread over the tasks.
+    Rows of a domain are handled one after another; domains are spread over the tasks. A domain's rows of one micro-batch
+    are ordered as a whole by at, url and kind, however many Arrow chunks bring them, and held in one task's memory for it;
+    rows that come later than their micro-batch take the next free slot.
     """
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,19 +96,18 @@ def reserve_slots(requests: DataFrame, idle_sec: int | None = IDLE_SEC) -> DataF
             state.remove()
             return
         stored = state.get[0] if state.exists else None
-        for rows in frames:
-            rows = rows.sort_values("at", kind="stable")
-            start = []
-            for kind, at, delay in zip(rows["kind"], rows["at"], rows["delay"]):
-                if kind == "done":
-                    stored = completed(stored, at, delay)
-                    start.append(at)
-                else:
-                    s, stored = next_slots([at], [delay], stored)
-                    start += s
-            rows = rows.assign(start=start)
-            rows["wait_sec"] = rows["start"] - rows["at"]
-            yield rows[["domain", "url", "kind", "at", "start", "wait_sec"]]
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["at", "url", "kind"], kind="stable")
+        start = []
+        for kind, at, delay in zip(rows["kind"], rows["at"], rows["delay"]):
+            if kind == "done":
+                stored = completed(stored, at, delay)
+                start.append(at)
+            else:
+                s, stored = next_slots([at], [delay], stored)
+                start += s
+        rows = rows.assign(start=start)
+        rows["wait_sec"] = rows["start"] - rows["at"]
+        yield rows[["domain", "url", "kind", "at", "start", "wait_sec"]]
         if stored is not None:
             state.update((stored,))
         if idle_sec is not None:

@@ -213,6 +213,24 @@ def test_slots():
     assert queue_log.is_stalled(p, 3, 900) and not queue_log.is_stalled(p, 0, 900) and not queue_log.is_stalled(p, 3, 1000)
 
 
+def test_slots_of_a_domain_in_several_chunks(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [("a", f"u{i:03d}", float(i * 37 % 200)) for i in range(200)] + [("b", f"u{i}", float(9 - i)) for i in range(9)]
+    req = spark.createDataFrame(rows, "domain string, url string, at double").withColumns({"kind": F.lit("reserve"), "delay": F.lit(2.0)})
+    req.coalesce(1).write.parquet(src)
+    out, size = str(tmp_path / "out"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10")
+    try:
+        slots = state.reserve_slots(spark.readStream.schema(req.schema).parquet(src), None)
+        q = slots.writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "c"))
+        q.trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set(size, before)
+    got = {(r.domain, r.url): r.start for r in spark.read.parquet(out).collect()}
+    assert got == {(r.domain, r.url): r.start for r in state.reserve_slots_batch(req).collect()}
+
+
 def test_degree_level_stands_anywhere_in_a_line(spark, tmp_path):
     line = "Fees for the coming academic year, full-time: £9250 MSc Informatics"
     docs = spark.createDataFrame([(1, "https://a.edu/x", "Informatics\n" + line, datetime.datetime(2026, 1, 5))], "doc_id long, url string, text string, fetched_at timestamp")
