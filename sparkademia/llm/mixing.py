@@ -109,7 +109,7 @@ def _placed(sized: DataFrame, buckets: int, seed: int) -> DataFrame:
 def mix(
     documents: DataFrame,
     targets: DataFrame,
-    total: int | None = None,
+    total: int | str | None = None,
     block_docs: int = 16,
     shard_tokens: int = 1_000_000,
     max_shards: int = 4096,
@@ -124,7 +124,8 @@ def mix(
     of a random permutation of them, so no document is used more often than max_repeats and uses differ by one at most;
     the last document is taken if at least half of it is missing. The uses of a source in permuted order form blocks of
     `block_docs`; the splitting tree says how many blocks of each source go to each shard, the shards take disjoint runs
-    of them, and the documents are shuffled within each shard.
+    of them, and the documents are shuffled within each shard. total="corpus" stands for as many tokens as the documents
+    of all targets have: scarce sources stop at their repeats, and don't shrink what the others give.
 
     Sources are compared apart from case, blanks, hyphens and underscores. Documents without id, source, text or tokens,
     and of sources without a target, aren't used. Rows that repeat a doc_id count as one document, the longest. Targets
@@ -149,6 +150,8 @@ def mix(
 
     sized = Workspace(spark, "mix").write(sized, "sized")
     have = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("tokens"), F.count(F.lit(1))).collect()}
+    if total == "corpus":
+        total = sum(t for t, _ in have.values())
     quota = quotas({s: t for s, (t, _) in have.items()}, goals, total)
     plan = {}  # source -> whole passes, tokens of the last pass
     repeats = {s: r for s, _, r in goals}

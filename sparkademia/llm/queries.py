@@ -45,8 +45,8 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The mixture: every use of a document with its shard and place."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    """The mixture, as large as the targets' documents: every use of a document with its shard and place."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total="corpus")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -246,6 +246,17 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
+def test_a_scarce_source_does_not_shrink_the_mixture(spark, tmp_path):
+    rows = [(i, "word " * 50, "a" if i % 2 else "b", "x", "y") for i in range(400)] + [(1000, "word " * 50, "rare", "x", "y")]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    targets = [("a", 0.5, 2), ("b", 0.3, 2), ("rare", 0.2, 3)]
+    spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    r = {x.source: x for x in queries.queries()["p9_shares"](spark, str(tmp_path)).collect()}
+    each = r["rare"].tokens / r["rare"].uses
+    assert r["rare"].uses == r["rare"].most_uses == 3 and not r["rare"].reached
+    assert abs(r["a"].tokens - 0.5 * 401 * each) <= each and abs(r["b"].tokens - 0.3 * 401 * each) <= each
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "a b " * 60_000)], "i int, text string")
     n = {r.i: r.tokens for r in mixing.token_counts(df, "text").collect()}
