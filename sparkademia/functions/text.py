@@ -198,8 +198,8 @@ def course_like_score(url: Column, title: Column, snippet: Column, query: Column
 
 
 def page_signals(url: Column, title: Column, snippet: Column, html: Column) -> Column:
-    """struct(search_form, course_list, bonus) of a fetched page."""
-    text = F.lower(F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")), F.substring(F.coalesce(html, F.lit("")), 1, 50_000)))
+    """struct(search_form, course_list, bonus) of a fetched page, by the whole of its html."""
+    text = F.lower(F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")), F.coalesce(html, F.lit(""))))
     form = F.contains(F.lower(F.coalesce(html, F.lit(""))), F.lit("<form")) & contains_any(text, ["search", "finder", "filter", "query"])
     hits = sum((F.when(text.contains(w), 1).otherwise(0) for w in COURSE_HINTS), F.lit(0))
     p = F.lower(path(url))

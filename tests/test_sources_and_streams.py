@@ -231,6 +231,13 @@ def test_slots_of_a_domain_in_several_chunks(spark, tmp_path):
     assert got == {(r.domain, r.url): r.start for r in state.reserve_slots_batch(req).collect()}
 
 
+def test_page_signals_of_a_long_page(spark):
+    page = "x" * 60_000 + "<form>search</form> programmes courses admissions degree"
+    df = spark.createDataFrame([("https://a.edu/", "", "", page)], "u string, t string, s string, h string")
+    r = df.select(text.page_signals(*[F.col(c) for c in "utsh"]).alias("p")).first().p
+    assert r.search_form and r.course_list and r.bonus == 4.0
+
+
 def test_degree_level_stands_anywhere_in_a_line(spark, tmp_path):
     line = "Fees for the coming academic year, full-time: £9250 MSc Informatics"
     docs = spark.createDataFrame([(1, "https://a.edu/x", "Informatics\n" + line, datetime.datetime(2026, 1, 5))], "doc_id long, url string, text string, fetched_at timestamp")
