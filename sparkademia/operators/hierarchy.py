@@ -276,32 +276,79 @@ def nested_sets(forest: Forest, paths: bool = True) -> DataFrame:
     return every.select("v", "root", "depth", "size", (F.col("off") + 1).alias("lft"), (F.col("off") + F.col("size")).alias("rgt"), *(["path"] if paths else []))
 
 
-def hierarchy(edges: DataFrame, paths: bool = True, **columns: str) -> DataFrame:
-    """Each page of each run with parent_url, root_url (start page), depth, descendants (how many), lft and rgt, path
-    (urls from the start page down to it) and on_circle.
+def further_ranges(forest: Forest, sets: DataFrame) -> DataFrame:
+    """(v, ranges, reached): the nested-set ranges (root, lft, rgt) that hold the descendants which links beyond the parent
+    links add to a page, and how many pages its own range and these hold, itself apart. Only pages with such ranges.
+
+    A page reaches, by its further links and those of the pages under it, the heads they lead to; the heads' own reach is
+    closed by doubling. Of a page's ranges only those that lie in no other of them, its own included, are kept: ranges of
+    a forest are nested or apart, so they are disjoint. The pairs (page, head) are as many as the answer has, before that.
+    """
+    space = forest.space
+    above = forest.extra.select("p", F.col("p").alias("v")).distinct()
+    for jump in forest.jumps:  # after round k the pages less than 2^k above each tail
+        above = space.write(above.unionByName(above.join(jump, "v").select("p", F.col("a").alias("v"))), "above")
+    first = space.write(above.join(forest.extra, "p").select("v", "c").distinct(), "reach")
+    heads = forest.extra.select(F.col("c").alias("v")).distinct()
+    closed, size = space.write(first.join(heads, "v", "left_semi"), "closed"), -1
+    now = closed.count()
+    while now != size:
+        on = closed.alias("s").join(closed.alias("t"), F.col("s.c") == F.col("t.v")).select("s.v", "t.c")
+        closed, size = space.write(closed.unionByName(on).distinct(), "closed"), now
+        now = closed.count()
+    on = first.alias("s").join(closed.alias("t"), F.col("s.c") == F.col("t.v")).select("s.v", "t.c")
+    reach = space.write(first.unionByName(on).distinct(), "reach")
+    place = sets.select("v", "root", "lft", "rgt")
+    own = place.join(reach.select("v").distinct(), "v", "left_semi").withColumn("own", F.lit(True))
+    every = own.unionByName(
+        reach.where("v <> c").join(place.withColumnRenamed("v", "c"), "c").select("v", "root", "lft", "rgt", F.lit(False).alias("own"))
+    )
+    w = Window.partitionBy("v", "root").orderBy("lft", F.desc("rgt")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = every.withColumn("covered", F.max("rgt").over(w)).where("covered IS NULL OR lft > covered")
+    return outer.groupBy("v").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("own"), F.struct("root", "lft", "rgt")))).alias("ranges"),
+        (F.sum(F.col("rgt") - F.col("lft") + 1) - 1).alias("reached"),
+    ).where(F.size("ranges") > 0)
 
-    The descendants of a page are the pages of its root_url and run whose lft lies between its own lft and rgt, its
-    ancestors those whose range holds its lft; `descendants_of` lists them. Pages on or under a circle that no start page
-    leads to hang under that circle's lowest page (by hash). See `build_forest` for nulls, repeated links and several
-    parents. An empty table gives no rows.
+
+def hierarchy(edges: DataFrame, paths: bool = True, **columns: str) -> DataFrame:
+    """Each page of each run with parent_url, root_url (start page), depth, descendants (how many in the tree), lft and rgt,
+    path (urls from the start page down to it), on_circle, all_descendants (how many by all links) and further_ranges.
+
+    lft and rgt cover the descendants by parent links: the pages of the same root_url and run whose lft lies between its
+    own lft and rgt. Those that further links of pages with several parents add lie in further_ranges (root_url, lft, rgt),
+    which is empty where they add none; the page itself, if a circle leads back to it, isn't counted. `descendants_of`
+    lists all of them. Ancestors by parent links are those whose range holds a page's lft. Pages on or under a circle that
+    no start page leads to hang under that circle's lowest page (by hash). See `build_forest` for nulls, repeated links and
+    several parents. An empty table gives no rows.
     """
     forest = build_forest(edges, **columns)
-    sets = nested_sets(forest, paths)
+    sets = forest.space.write(nested_sets(forest, paths), "sets")
     names = forest.nodes.select("v", "url")
     root = names.select(F.col("v").alias("root"), F.col("url").alias("root_url"))
     up = forest.parent.where("a IS NOT NULL").join(names.select(F.col("v").alias("a"), F.col("url").alias("parent_url")), "a").select("v", "parent_url")
     on = circle_nodes(forest).select("v", F.lit(True).alias("on_circle"))
-    out = forest.nodes.join(sets, "v").join(up, "v", "left").join(root, "root").join(on, "v", "left")
+    more = further_ranges(forest, sets)
+    each = more.select("v", "reached", F.explode("ranges").alias("r")).select("v", "reached", "r.*").join(root, "root")
+    more = each.groupBy("v").agg(F.first("reached").alias("reached"), F.sort_array(F.collect_list(F.struct("root_url", "lft", "rgt"))).alias("further_ranges"))
+    out = forest.nodes.join(sets, "v").join(up, "v", "left").join(root, "root").join(on, "v", "left").join(more, "v", "left")
     return out.select(
         F.col("run").alias("run_id"), "url", "parent_url", "root_url", "depth", (F.col("size") - 1).alias("descendants"),
         "lft", "rgt", *(["path"] if paths else []), F.coalesce("on_circle", F.lit(False)).alias("on_circle"),
+        F.coalesce("reached", F.col("size") - 1).alias("all_descendants"),
+        F.coalesce("further_ranges", F.array().cast("array<struct<root_url:string,lft:bigint,rgt:bigint>>")).alias("further_ranges"),
     )
 
 
 def descendants_of(tree: DataFrame, some: DataFrame) -> DataFrame:
-    """(run_id, url, descendant, distance) for the pages of `some` (run_id, url), by their nested-set ranges."""
-    a = tree.join(some.select("run_id", "url").distinct(), ["run_id", "url"], "left_semi").alias("a")
+    """(run_id, url, descendant, distance) for the pages of `some` (run_id, url), by their nested-set ranges and further
+    ranges. distance is null for descendants that only further links lead to."""
+    a = tree.join(some.select("run_id", "url").distinct(), ["run_id", "url"], "left_semi")
+    own = F.struct("root_url", "lft", "rgt")
+    a = a.select("run_id", "url", "depth", own.alias("own"), F.explode(F.concat(F.array(own), "further_ranges")).alias("r")).alias("a")
     d = tree.alias("d")
-    on = (F.col("a.run_id") == F.col("d.run_id")) & (F.col("a.root_url") == F.col("d.root_url"))
-    inside = (F.col("d.lft") > F.col("a.lft")) & (F.col("d.lft") <= F.col("a.rgt"))
-    return a.join(d, on & inside).select("a.run_id", "a.url", F.col("d.url").alias("descendant"), (F.col("d.depth") - F.col("a.depth")).alias("distance"))
+    on = (F.col("a.run_id") == F.col("d.run_id")) & (F.col("a.r.root_url") == F.col("d.root_url"))
+    inside = (F.col("d.lft") >= F.col("a.r.lft")) & (F.col("d.lft") <= F.col("a.r.rgt")) & (F.col("d.url") != F.col("a.url"))
+    below = (F.col("d.root_url") == F.col("a.own.root_url")) & F.col("d.lft").between(F.col("a.own.lft"), F.col("a.own.rgt"))
+    found = a.join(d, on & inside).where(~below | (F.col("a.r") == F.col("a.own")))
+    return found.select("a.run_id", "a.url", F.col("d.url").alias("descendant"), F.when(below, F.col("d.depth") - F.col("a.depth")).alias("distance"))

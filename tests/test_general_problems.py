@@ -228,3 +228,29 @@ def test_hierarchy_of_trees(spark):
         assert p.rgt < q.lft or q.rgt < p.lft or (p.lft < q.lft and q.rgt <= p.rgt) or (q.lft < p.lft and p.rgt <= q.rgt)
     empty = spark.createDataFrame([], EDGES)
     assert hierarchy.hierarchy(empty).count() == 0 and hierarchy.circles(empty).count() == 0
+
+
+def test_descendants_by_all_links_against_brute_force(spark):
+    rng = random.Random(6)
+    edges = [(0, "r", "a"), (0, "r", "b"), (0, "a", "c"), (0, "c", "d"), (0, "b", "c")]
+    for run in range(1, 25):
+        n = rng.choice([4, 9, 20])
+        edges += [(run, f"u{rng.randint(max(0, c - 3), c - 1)}", f"u{c}") for c in range(1, n) if c % 7]
+        edges += [(run, f"u{rng.randint(0, n - 1)}", f"u{rng.randint(0, n - 1)}") for _ in range(rng.choice([0, 1, 3, 5]))]
+    want = set()
+    for run in {e[0] for e in edges}:
+        kids = {}
+        for _, p, c in (e for e in edges if e[0] == run):
+            kids.setdefault(p, set()).add(c)
+        for start in kids:
+            todo, seen = [start], set()
+            while todo:
+                new = kids.get(todo.pop(), set()) - seen
+                seen |= new
+                todo += new
+            want |= {(run, start, d) for d in seen - {start}}
+    tree = hierarchy.hierarchy(spark.createDataFrame([(i, *e, 0, "") for i, e in enumerate(edges)], EDGES)).cache()
+    below = [(r.run_id, r.url, r.descendant) for r in hierarchy.descendants_of(tree, tree).collect()]
+    assert len(below) == len(set(below)) and set(below) == want
+    assert sum(r.all_descendants for r in tree.collect()) == len(want)
+    tree.unpersist()
