@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkademia.operators.hierarchy import double
+from sparkademia.operators.hierarchy import climb
 from sparkademia.operators.relational import top_per_group
 from sparkademia.session import Workspace
 
@@ -43,8 +43,8 @@ def reachable(pages: DataFrame, links: DataFrame, starts: DataFrame) -> DataFram
     parents = steps.groupBy(F.col("c").alias("v")).agg(F.min("p").alias("a"), F.count(F.lit(1)).alias("n"))
     above = known.select("v").join(parents, "v", "left").join(first.withColumn("is_start", F.lit(True)), "v", "left")
     single = (F.col("n") == 1) & F.col("is_start").isNull()
-    done, _, _, _ = double(space, above.select("v", F.when(single, F.col("a")).alias("a"), F.lit(False).alias("heads")))
-    done = space.write(done.select("v", "root"), "pieces")
+    start = above.select("v", F.when(single, F.col("a")).alias("up"), F.lit(None).cast("long").alias("near"), F.lit(1).cast("long").alias("size"))
+    done = space.write(climb(space, start).where("a IS NULL").select("v", "root"), "pieces")
     tops = done.where("v = root").select(F.col("v").alias("c"))
     hops = space.write(steps.join(tops, "c", "left_semi").join(done.select(F.col("v").alias("p"), "root"), "p").select("root", "c").distinct(), "hops")
     new = reached = first

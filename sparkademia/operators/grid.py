@@ -14,26 +14,33 @@ from pyspark.sql import types as T
 from sparkademia.session import Workspace
 
 
+#: A time in words: the date's parts, the time's, a fraction, and an offset.
+_CLOCK = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})[T ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})([.,][0-9]+)?)? *(?:Z|z|UTC|GMT|([+-][0-9]{2}):?([0-9]{2})?)?$"
+
+
 def epoch_seconds(text: Column) -> Column:
     """Epoch seconds (double) of a time written as date and time with -, / or . between the date's parts and a blank or T
     before the time, with or without fraction, Z or an offset, or as epoch seconds, milliseconds or microseconds in
-    digits. UTC unless an offset is named. Null for anything else, also for days that don't exist."""
+    digits. UTC unless an offset is named. Null for anything else, also for days that don't exist.
+
+    The text is cut by one regular expression, whose parts are then read from an array."""
     t = F.trim(text)
-    digits = t.rlike(r"^[0-9]{9,17}(\.[0-9]+)?$")
-    whole = F.length(F.regexp_extract(t, r"^([0-9]*)", 1))
+    parts = F.split(F.regexp_replace(t, _CLOCK, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), "[|]")
+    return F.get(F.transform(F.array(F.struct(t.alias("t"), parts.alias("p"))), lambda x: _clock(x["t"], x["p"])), F.lit(0))
+
+
+def _clock(t: Column, p: Column) -> Column:
     number = t.try_cast("double")
+    whole = F.length(F.split_part(t, F.lit("."), F.lit(1)))
+    digits = whole.between(9, 17) & number.isNotNull() & ~t.rlike("[^0-9.]")
     epoch = F.when(whole <= 11, number).when(whole <= 14, number / 1e3).otherwise(number / 1e6)
-    pattern = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})[T ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})([.,][0-9]+)?)? *(Z|z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2})?$"
-    part = lambda k: F.regexp_extract(t, pattern, k)
-    num = lambda k: F.coalesce(F.nullif(part(k), F.lit("")).try_cast("int"), F.lit(0))
-    day = F.try_make_timestamp(num(1), num(2), num(3), num(4), num(5), num(6).cast("decimal(8,6)"), F.lit("UTC"))
-    fraction = F.coalesce(F.concat(F.lit("0."), F.nullif(F.substring(part(7), 2, 9), F.lit(""))).try_cast("double"), F.lit(0.0))
-    zone = F.regexp_replace(part(8), ":", "")
-    sign = F.when(zone.startswith("-"), -1).when(zone.startswith("+"), 1).otherwise(0)
-    hours = F.coalesce(F.nullif(F.substring(zone, 2, 2), F.lit("")).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.nullif(F.substring(zone, 4, 2), F.lit("")).try_cast("int"), F.lit(0))
-    clock = (F.unix_micros(day) / 1e6 + fraction) - sign * (hours * 3600 + minutes * 60)
-    return F.when(digits, epoch).when(t.rlike(pattern), clock)
+    part = lambda k: F.get(p, F.lit(k))
+    num = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
+    day = F.try_make_timestamp(num(0), num(1), num(2), num(3), num(4), num(5).cast("decimal(8,6)"), F.lit("UTC"))
+    fraction = F.coalesce(F.concat(F.lit("0."), F.nullif(F.substring(part(6), 2, 9), F.lit(""))).try_cast("double"), F.lit(0.0))
+    sign = F.when(part(7).startswith("-"), -1).otherwise(1)
+    clock = (F.unix_micros(day) / 1e6 + fraction) - (num(7) * 3600 + sign * num(8) * 60)
+    return F.when(F.size(p) == 9, clock).when(digits, epoch)
 
 
 def _basis(t: Column, periods: Sequence[float], harmonics: int) -> list[Column]:
@@ -96,16 +103,17 @@ def regular_grid(
     rows; other columns aren't read. The observed slots are written once, so that each time is parsed once.
     """
     fine = [F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")) & (F.col(v) >= 0) for v in values]
-    ok = F.col("__k").isNotNull() & F.col("__t").isNotNull()
-    usable = readings.where(_all(fine)).select(F.col(key).alias("__k"), time.alias("__t"), *[F.col(v).cast("double").alias(f"__y{i}") for i, v in enumerate(values)]).where(ok)
+    slot = (F.floor(time / step) * step).cast("long")
+    named = F.col(key).isNotNull()
+    usable = readings.where(named & _all(fine)).select(F.col(key).alias("__k"), slot.alias("__s"), *[F.col(v).cast("double").alias(f"__y{i}") for i, v in enumerate(values)])
     n = len(values)
     slots = (
-        usable.withColumn("__s", (F.floor(F.col("__t") / step) * step).cast("long"))
-        .groupBy("__k", "__s")
+        usable.groupBy("__k", "__s")
         .agg(F.count(F.lit(1)).alias("__n"), *[F.avg(f"__y{i}").alias(f"__y{i}") for i in range(n)])
         .withColumn("__c", F.floor(F.col("__s") / (step * chunk_slots)).cast("long"))
     )
-    slots = Workspace(readings.sparkSession, "grid").write(slots, "slots")
+    # readings without a time are one more row a key, left out after the writing: a filter before it would parse twice
+    slots = Workspace(readings.sparkSession, "grid").write(slots, "slots").where(F.col("__s").isNotNull())
     # normal equations; time is counted from the chunk-independent origin 2020 in days to keep the sums small
     t = (F.col("__s") - F.lit(1577836800)) / F.lit(86400.0)
     basis = _basis(t, [p / 86400.0 for p in periods], harmonics)

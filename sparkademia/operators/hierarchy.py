@@ -1,12 +1,15 @@
-"""Parent-child links of unknown depth to hierarchies: pointer doubling, nested-set ranges, and urls on circles.
+"""Parent-child links of unknown depth to hierarchies: nested sets, the descendants that links beyond the tree add, circles.
 
-Every pass takes about log2(depth) rounds, not one a level: after round k each node points to its ancestor 2^k levels up.
-Each round is written to the shared folder, so lineage stays short and executors may be lost.
+Subtree sizes are summed upward and preorder ranges allocated downward by pointer doubling, in about log2(depth) rounds
+each and over pages that have children only; pages that the upward pass leaves unprocessed lie on or under circles of
+parent links. Every other test of who is above whom is a comparison of nested-set ranges. Each round is written to the
+shared folder, so lineage stays short and executors may be lost, and replaces the one before it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,83 +19,72 @@ from sparkademia.session import Workspace
 
 @dataclass
 class Forest:
-    """One parent per page, with what the links beyond that add.
+    """One parent per page, with what the links beyond that add. Pages are named by a 64-bit hash of run and url.
 
-    nodes    v, run, url
-    state    v, root, depth, near (nearest ancestor that some further link leads to)
-    jumps    jumps[k]: v, a (the ancestor 2^k levels up), for nodes at least 2^k deep
+    pages    v, run, url: once per link, not distinct
+    inner    pages with children: v, up (parent), root, depth, near (nearest ancestor that a further link leads to), size
+    leaves   pages with a parent and without children: v, up
     extra    p, c: links that aren't parent links
     loops    v: pages that link to themselves
     """
 
     space: Workspace
-    nodes: DataFrame
-    parent: DataFrame
-    state: DataFrame
+    pages: DataFrame
+    inner: DataFrame
+    leaves: DataFrame
     extra: DataFrame
     loops: DataFrame
-    jumps: list[DataFrame] = field(default_factory=list)
 
 
-def double(space: Workspace, start: DataFrame):
-    """Pointer doubling from start (v, a, heads: whether a is a head). Returns (finished, unfinished, how many are
-    unfinished, jumps).
+def climb(space: Workspace, start: DataFrame) -> DataFrame:
+    """Root, depth, nearest head and subtree size by pointer doubling: v, up, a, root, depth, near, size, written.
 
-    finished: v, root, depth, near; unfinished: v, a; they lie on circles of parent pointers or below one. A round in
-    which no node finishes ends it: depths have no gaps, so nobody deeper can finish either.
+    start: v, up, near, size (the page and its children that have none). After round k a page points 2^k levels up, and
+    its size covers the pages less than 2^k below it. A round in which no page finishes ends it: depths have no gaps, so
+    nobody deeper can finish either; pages whose `a` isn't null then lie on circles of parent links or below one.
     """
+    top = F.col("up").isNull()
     state = space.write(
         start.select(
-            "v",
-            "a",
-            F.when(F.col("a").isNull(), F.col("v")).alias("root"),
-            F.when(F.col("a").isNull(), 0).otherwise(1).cast("long").alias("depth"),
-            F.when(F.col("heads"), F.col("a")).alias("near"),
+            "v", "up", F.col("up").alias("a"), F.when(top, F.col("v")).alias("root"), F.when(top, 0).otherwise(1).cast("int").alias("depth"), "near", "size"
         ),
         "state",
-    )
-    jumps: list[DataFrame] = []
-    left = state.where("a IS NOT NULL").count()
-    while left:
-        jumps.append(state.where("a IS NOT NULL").select("v", "a"))
-        s = state.where("a IS NOT NULL").alias("s")
-        t = state.alias("t")
-        moved = s.join(t, F.col("s.a") == F.col("t.v")).select(
-            "s.v",
-            F.col("t.a").alias("a"),
-            F.col("t.root").alias("root"),
-            (F.col("s.depth") + F.col("t.depth")).alias("depth"),
-            F.coalesce("s.near", "t.near").alias("near"),
+    )
+    left, before = state.where("a IS NOT NULL").count(), -1
+    while left and left != before:
+        todo, done = state.where("a IS NOT NULL"), state.where("a IS NULL")
+        above = state.select(F.col("v").alias("at"), F.col("a").alias("a2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("near").alias("near2"))
+        moved = todo.join(above, F.col("a") == F.col("at")).select(
+            "v", "up", F.col("a2").alias("a"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), F.coalesce("near", "near2").alias("near"), "size"
         )
-        state = space.write(moved.unionByName(state.where("a IS NULL")), "state")
-        now = state.where("a IS NOT NULL").count()
-        if now == left:
+        more = todo.groupBy(F.col("a").alias("at")).agg(F.sum("size").alias("more"))
+        grown = done.unionByName(moved).join(more, F.col("v") == F.col("at"), "left")
+        new = space.write(grown.select("v", "up", "a", "root", "depth", "near", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "state")
+        space.drop(state)
+        state, before = new, left
+        left = state.where("a IS NOT NULL").count()
+    return state
+
+
+def _rings(space: Workspace, stuck: DataFrame, pages: DataFrame) -> DataFrame:
+    """The page with the lowest url of each circle of parent links. stuck: v, up, a (an ancestor some levels up) of
+    unprocessed pages."""
+    direct = stuck.select("v", F.col("up").alias("a"))
+    image = stuck.select("v", "a")
+    while True:  # once the parents of the targets are as many as the targets, these are the circles themselves
+        ring = space.write(image.select(F.col("a").alias("v")).distinct(), "ring")
+        parents = direct.join(ring, "v", "left_semi")
+        if parents.select("a").distinct().count() == ring.count():
             break
-        left = now
-    return state.where("a IS NULL").drop("a"), state.where("a IS NOT NULL").select("v", "a"), left, jumps
-
-
-def _periodic(space: Workspace, stuck: DataFrame, first: DataFrame) -> DataFrame:
-    """The lowest node of each circle of parent pointers. stuck: v, a after some rounds; first: v, a (direct parents)."""
-    image, size = stuck, -1
-    while True:  # jumping on, the targets shrink to the circles themselves
-        targets = image.select("a").distinct()
-        now = targets.count()
-        if now == size:
-            break
-        size = now
-        nxt = image.alias("s").join(image.alias("t"), F.col("s.a") == F.col("t.v")).select("s.v", F.col("t.a").alias("a"))
-        image = space.write(nxt, "image")
-    circle = space.write(
-        first.join(targets.select(F.col("a").alias("v")), "v", "left_semi").select("v", "a", F.least("v", "a").alias("low")), "circle"
-    )
-    reach = 1
-    while reach < size:  # the lowest node within 2^k steps
-        c = circle.alias("s").join(circle.alias("t"), F.col("s.a") == F.col("t.v")).select(
-            "s.v", F.col("t.a").alias("a"), F.least("s.low", "t.low").alias("low")
-        )
-        circle, reach = space.write(c, "circle"), reach * 2
-    return circle.where("v = low").select("v")
+        image = space.write(image.alias("s").join(image.alias("t"), F.col("s.a") == F.col("t.v")).select("s.v", F.col("t.a").alias("a")), "image")
+    named = pages.join(ring, "v", "left_semi").select("v", F.struct("url", "v").alias("low")).distinct()
+    circle = space.write(parents.join(named, "v"), "circle")
+    while True:  # the lowest page within 2^k steps, until that changes nowhere
+        c = circle.alias("s").join(circle.alias("t"), F.col("s.a") == F.col("t.v"))
+        new = space.write(c.select("s.v", F.col("t.a").alias("a"), F.least("s.low", "t.low").alias("low"), (F.col("t.low") < F.col("s.low")).alias("lower")), "circle")
+        circle = new.select("v", "a", "low")
+        if new.where("lower").isEmpty():
+            return circle.where("v = low.v").select("v")
 
 
 def build_forest(edges: DataFrame, run: str = "run_id", parent: str = "parent_url", child: str = "child_url", order: str = "id") -> Forest:
@@ -100,54 +92,114 @@ def build_forest(edges: DataFrame, run: str = "run_id", parent: str = "parent_ur
     other links are kept apart.
 
     Links without run, parent or child are left out; repeated links count once; a link of a page to itself makes no
-    parent. Pages are named by a 64-bit hash of run and url inside. Pages below or on a circle of parent links come out
-    unfinished from the doubling; each such circle is opened at its lowest page, whose parent link joins the further links.
+    parent. Each circle of parent links, which the upward pass reveals, is opened at its page with the lowest url, whose
+    parent link joins the further links.
     """
     space = Workspace(edges.sparkSession, "hierarchy")
     rows = edges.where(F.col(run).isNotNull() & F.col(parent).isNotNull() & F.col(child).isNotNull())
     node = lambda u: F.xxhash64(F.col(run), F.col(u))
-    links = rows.select(F.col(run).alias("run"), F.col(parent).alias("pu"), F.col(child).alias("cu"), node(parent).alias("p"), node(child).alias("c"), F.col(order).alias("o"))
-    links = space.write(links.groupBy("p", "c").agg(F.min("o").alias("o"), F.first("run").alias("run"), F.first("pu").alias("pu"), F.first("cu").alias("cu")), "links")
-    nodes = space.write(
-        links.select(F.col("p").alias("v"), "run", F.col("pu").alias("url"))
-        .union(links.select("c", "run", "cu"))
-        .groupBy("v").agg(F.first("run").alias("run"), F.first("url").alias("url")),
-        "nodes",
-    )
-    loops = links.where("p = c").select(F.col("c").alias("v"))
-    real = links.where("p <> c").select("p", "c", "o")
-    chosen = space.write(real.groupBy("c").agg(F.min(F.struct(F.col("o").isNull(), "o", "p")).getField("p").alias("a"), F.count(F.lit(1)).alias("n")), "parents")
-    several = chosen.where("n > 1").select("c", "a")
-    extra = space.write(real.join(several, "c").where("p <> a").select("p", "c"), "extra")
-    heads = extra.select(F.col("c").alias("h")).distinct()
-    start = nodes.select("v").join(chosen.select(F.col("c").alias("v"), "a"), "v", "left")
-    start = start.join(heads, F.col("a") == F.col("h"), "left").select("v", "a", F.col("h").isNotNull().alias("heads"))
-    start = space.write(start, "start")
-    done, stuck, left, jumps = double(space, start)
-    parents = start.select("v", "a")
-    if left:
-        cut = space.write(_periodic(space, stuck, start.join(stuck.select("v"), "v", "left_semi").select("v", "a")), "cut")
-        opened = start.join(cut, "v", "left_semi").select(F.col("a").alias("p"), F.col("v").alias("c"))
-        extra = space.write(extra.unionByName(opened), "extra")
+    both = rows.select(F.explode(F.array(*[F.struct(node(u).alias("v"), F.col(run).alias("run"), F.col(u).alias("url")) for u in (parent, child)])).alias("x"))
+    loops = rows.where(F.col(parent) == F.col(child)).select(node(child).alias("v")).distinct()
+    hashed = rows.select(node(parent).alias("p"), node(child).alias("c"), F.col(order).alias("o")).where("p <> c")
+    links = space.write(hashed.groupBy("p", "c").agg(F.min("o").alias("o")), "links")
+    seen = space.write(links.groupBy(F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("up")), "seen")
+    many = space.write(links.join(seen.where("n > 1").select(F.col("v").alias("c")), "c", "left_semi"), "many")
+    best = many.groupBy("c").agg(F.min(F.struct(F.col("o").isNull().alias("none"), "o", "p")).getField("p").alias("up"))
+    best = space.write(best, "best")
+    parents = seen.where("n = 1").select("v", "up").unionByName(best.select(F.col("c").alias("v"), "up"))
+    extra = space.write(many.join(best, "c").where("p <> up").select("p", "c"), "extra")
+    kids = parents.groupBy(F.col("up").alias("k")).agg(F.lit(True).alias("has"))
+    tree = space.write(parents.join(kids, F.col("v") == F.col("k"), "full_outer").select(F.coalesce("v", "k").alias("v"), "up", F.coalesce("has", F.lit(False)).alias("has")), "tree")
+    for old in (links, seen, many, best):
+        space.drop(old)
+    leaves = tree.where("NOT has").select("v", "up")
+    # pages that are only the parents of further links stand alone
+    alone = extra.select(F.col("p").alias("v")).distinct().join(tree.select("v"), "v", "left_anti").select("v", F.lit(None).cast("long").alias("up"))
+    counts = leaves.groupBy(F.col("up").alias("k")).agg(F.count(F.lit(1)).alias("leaves"))
+    inner = tree.where("has").select("v", "up").unionByName(alone).join(counts, F.col("v") == F.col("k"), "left")
+    inner = inner.select("v", "up", (1 + F.coalesce("leaves", F.lit(0))).alias("size"))
+
+    def near(rows: DataFrame, extra: DataFrame) -> DataFrame:
         heads = extra.select(F.col("c").alias("h")).distinct()
-        again = start.join(stuck.select("v"), "v", "left_semi").select("v", "a")
-        again = again.join(cut.select("v", F.lit(True).alias("is_cut")), "v", "left").select("v", F.when(F.col("is_cut").isNull(), F.col("a")).alias("a"))
-        again = again.join(heads, F.col("a") == F.col("h"), "left").select("v", "a", F.col("h").isNotNull().alias("heads"))
-        again = space.write(again, "start")
-        done2, _, _, jumps2 = double(space, again)
-        gone = stuck.select("v")
-        parents = space.write(parents.join(gone, "v", "left_anti").unionByName(again.select("v", "a")), "parents")
-        done = done.unionByName(done2)
-        for k in range(max(len(jumps), len(jumps2))):
-            old = jumps[k].join(gone, "v", "left_anti") if k < len(jumps) else None
-            new = jumps2[k] if k < len(jumps2) else None
-            both = new if old is None else old if new is None else old.unionByName(new)
-            jumps[k : k + 1] = [space.write(both, "jump")]
-    return Forest(space, nodes, parents, done, extra, loops, jumps)
+        return rows.join(heads, F.col("up") == F.col("h"), "left").select("v", "up", F.col("h").alias("near"), "size")
+
+    state = climb(space, near(inner, extra))
+    stuck = state.where("a IS NOT NULL")
+    if not stuck.isEmpty():
+        cut = space.write(_rings(space, stuck, both.select("x.*")), "cut")
+        opened = stuck.join(cut, "v", "left_semi").select(F.col("up").alias("p"), F.col("v").alias("c"))
+        extra = space.write(extra.unionByName(opened), "extra")
+        again = inner.join(stuck.select("v"), "v", "left_semi").join(cut.select(F.col("v").alias("x")), F.col("v") == F.col("x"), "left")
+        again = again.select("v", F.when(F.col("x").isNull(), F.col("up")).alias("up"), "size")
+        state = state.where("a IS NULL").unionByName(climb(space, near(again, extra)))
+    return Forest(space, both.select("x.*"), state.drop("a"), leaves, extra, loops)
+
+
+def _prefix(rows: DataFrame, group: str, part, order: list, value: str, name: str, ties: bool = False) -> DataFrame:
+    """rows with the sum of `value` over the rows before each in its group (with `ties`, including it and those that tie),
+    taken within parts of a group and over the parts' totals, so that no task holds a whole group. `part` must rise with
+    `order`, or the order be free."""
+    rows = rows.withColumn("__part", part)
+    totals = rows.groupBy(group, "__part").agg(F.sum(value).alias("__t"))
+    w = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(group, "__part", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__t"))
+    w = Window.partitionBy(group, "__part").orderBy(*order)
+    w = w.rangeBetween(Window.unboundedPreceding, 0) if ties else w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return rows.join(totals, [group, "__part"]).withColumn(name, F.col("__in") + F.col("__t")).drop("__part", "__in", "__t")
+
+
+def nested_sets(forest: Forest, inner: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The pages of `inner` (whole trees) with their nested-set ranges: v, up, root, depth, near, size, lft, rgt; with names
+    (v, url) also path, the urls from the root down.
+
+    Siblings get their ranges by prefix sums of subtree sizes, in about as many parts as the root of the number of pages;
+    children without children come after those that have some. The offsets are then summed downward by doubling; a round
+    writes only the pages that it moved.
+    """
+    space = forest.space
+    siblings = inner.where("up IS NOT NULL").select("v", "up", "size")
+    parts = max(1, isqrt(siblings.count()) // 8)
+    siblings = _prefix(siblings, "up", F.pmod(F.shiftright("v", 20), F.lit(parts)).cast("int"), ["v"], "size", "before")
+    offsets = inner.where("up IS NULL").select("v", F.lit(0).cast("long").alias("off")).unionByName(siblings.select("v", (F.col("before") + 1).alias("off")))
+    at = inner.select("v", F.col("up").alias("a")).join(offsets, "v")
+    if names is not None:
+        at = at.join(names.select("v", F.array("url").alias("path")), "v")
+    path = ["path"] if names is not None else []
+    moved, final = space.write(at, "offset"), []
+    while not (todo := moved.where("a IS NOT NULL")).isEmpty():
+        final.append(moved.where("a IS NULL"))
+        every = moved
+        for f in final[:-1]:
+            every = every.unionByName(f)
+        above = every.select(F.col("v").alias("at"), F.col("a").alias("a2"), F.col("off").alias("off2"), *[F.col(c).alias("path2") for c in path])
+        step = todo.join(above, F.col("a") == F.col("at")).select("v", F.col("a2").alias("a"), (F.col("off") + F.col("off2")).alias("off"), *[F.concat("path2", c).alias(c) for c in path])
+        moved = space.write(step, "offset")
+    out = moved
+    for f in final:
+        out = out.unionByName(f)
+    out = inner.join(out.select("v", "off", *path), "v")
+    return out.withColumns({"lft": F.col("off") + 1, "rgt": F.col("off") + F.col("size")}).drop("off")
+
+
+def _with_leaves(forest: Forest, leaves: DataFrame, at: DataFrame) -> DataFrame:
+    """(v, up, root, depth, near, size, lft, rgt) of pages without children, at the end of their parents' ranges. at: their
+    parents' nested sets, whose other columns come along as up_..."""
+    heads = forest.extra.select(F.col("c").alias("h")).distinct()
+    parts = max(1, isqrt(leaves.count()) // 8)
+    rows = _prefix(leaves.withColumn("one", F.lit(1)), "up", F.pmod(F.shiftright("v", 20), F.lit(parts)).cast("int"), ["v"], "one", "rank")
+    kept = [c for c in at.columns if c == "path"]
+    above = at.select(F.col("v").alias("at"), "root", F.col("depth").alias("d"), F.col("near").alias("n"), "rgt", *kept)
+    rows = rows.join(above, F.col("up") == F.col("at")).join(heads, F.col("up") == F.col("h"), "left")
+    place = (F.col("rgt") - F.col("rank")).alias("lft")
+    return rows.select(
+        "v", "up", "root", (F.col("d") + 1).alias("depth"), F.coalesce("h", "n").alias("near"), F.lit(1).cast("long").alias("size"), place, place.alias("rgt"), *kept
+    )
 
 
 def _strong(space: Workspace, edges: DataFrame) -> DataFrame:
-    """The edges (p, c, far) that lie inside a strongly connected component."""
+    """The edges (p, c, b) that lie inside a strongly connected component. Rounds follow the longest chain of edges that
+    isn't trimmed away; edges are only those between heads."""
     found: DataFrame | None = None
     todo = edges
     while True:
@@ -156,7 +208,7 @@ def _strong(space: Workspace, edges: DataFrame) -> DataFrame:
             todo = space.write(
                 todo.join(todo.select(F.col("c").alias("p")).distinct(), "p", "left_semi")
                 .join(todo.select(F.col("p").alias("c")).distinct(), "c", "left_semi")
-                .select("p", "c", "far"),
+                .select("p", "c", "b"),
                 "core",
             )
             now = todo.count()
@@ -166,18 +218,18 @@ def _strong(space: Workspace, edges: DataFrame) -> DataFrame:
         if not size:
             break
         # forward: each node takes the highest node that reaches it
-        color = space.write(todo.select(F.col("p").alias("v")).union(todo.select("c")).distinct().select("v", F.col("v").alias("k")), "color")
-        changed = 1
+        color = space.write(todo.select(F.explode(F.array("p", "c")).alias("v")).distinct().select("v", F.col("v").alias("k")), "color")
+        changed = True
         while changed:
             up = todo.join(color, F.col("p") == F.col("v")).groupBy(F.col("c").alias("v")).agg(F.max("k").alias("m"))
             new = space.write(color.join(up, "v", "left").select("v", F.greatest("k", "m").alias("k"), F.coalesce(F.col("m") > F.col("k"), F.lit(False)).alias("up")), "color")
-            changed = new.where("up").count()
+            changed = not new.where("up").isEmpty()
             color = new.select("v", "k")
         # backward inside a color: what reaches the node that gave it is one component
         same = (
             todo.join(color.select(F.col("v").alias("p"), F.col("k").alias("kp")), "p")
             .join(color.select(F.col("v").alias("c"), F.col("k").alias("kc")), "c")
-            .where("kp = kc").select("p", "c", "far", "kp")
+            .where("kp = kc").select("p", "c", "b")
         )
         same = space.write(same, "same")
         inside = space.write(color.where("v = k").select("v"), "inside")
@@ -188,92 +240,76 @@ def _strong(space: Workspace, edges: DataFrame) -> DataFrame:
             inside = space.write(inside.union(more).distinct(), "inside")
             now = inside.count()
         ok = inside.select(F.col("v").alias("p"))
-        part = same.join(ok, "p", "left_semi").join(inside.select(F.col("v").alias("c")), "c", "left_semi").select("p", "c", "far")
+        part = same.join(ok, "p", "left_semi").join(inside.select(F.col("v").alias("c")), "c", "left_semi")
         found = space.write(part if found is None else found.unionByName(part), "strong")
-        todo = same.join(ok, "p", "left_anti").join(inside.select(F.col("v").alias("c")), "c", "left_anti").select("p", "c", "far")
+        todo = same.join(ok, "p", "left_anti").join(inside.select(F.col("v").alias("c")), "c", "left_anti")
     return found if found is not None else edges.where("false")
 
 
-def circle_nodes(forest: Forest) -> DataFrame:
-    """v of every page on a circle of links within its run.
+def _touched(forest: Forest) -> tuple[DataFrame, DataFrame]:
+    """The pages with children of all trees that a further link starts or ends in, and the leaves among its ends."""
+    ends = forest.extra.select(F.explode(F.array("p", "c")).alias("v")).distinct()
+    leaves = forest.space.write(forest.leaves.join(ends, "v", "left_semi"), "leaf_ends")
+    some = ends.union(leaves.select("up")).distinct()
+    roots = forest.inner.join(some, "v", "left_semi").select("root").distinct()
+    return forest.space.write(forest.inner.join(roots, "root", "left_semi").select(*forest.inner.columns), "touched"), leaves
 
-    A circle holds a further link (all circles of parent links were opened). So the graph is condensed to the ends of
-    further links: a head (page that a further link leads to) reaches, down the tree, the heads and tails whose nearest
-    head above it is. The condensed edges inside a strongly connected component are circles; those that stand for a way
-    down the tree are spelled out again with the stored jumps.
+
+def circle_pages(forest: Forest, at: DataFrame, leaves: DataFrame) -> DataFrame:
+    """v of every page on a circle of links within its run. at: nested sets of all trees that further links touch; leaves:
+    positions of the leaves among their ends (or of more).
+
+    All circles of parent links are opened, so every circle holds a further link. A further link that leads to an ancestor,
+    whose range holds the range of the link's start, closes the way down between the two. A link from an ancestor adds
+    nothing. Only links across the tree need a search: the graph is condensed to heads (pages that further links lead to),
+    where a head reaches the heads right below it and those that links from pages right below it lead to; an edge inside a
+    strongly connected component closes the way down that it stands for. The pages on all these ways are counted by sums
+    over nested-set ranges: a way down counts at its end and stops counting above its top.
     """
     space = forest.space
-    tails = forest.extra.select(F.col("p").alias("v")).distinct()
-    heads = forest.extra.select(F.col("c").alias("v")).distinct()
-    ends = tails.union(heads).distinct()
-    known = forest.state.join(ends, "v", "left_semi").select("v", "near", "depth")
-    is_head = heads.select("v", F.lit(True).alias("head"))
-    known = space.write(known.join(is_head, "v", "left"), "ends")
-    down = known.where("near IS NOT NULL").select(F.col("near").alias("p"), F.col("v").alias("c"), F.lit(True).alias("far"))
-    graph = forest.extra.select("p", "c", F.lit(False).alias("far")).unionByName(down)
-    strong = _strong(space, space.write(graph, "graph"))
-    depth = forest.state.select("v", "depth")
-    ways = (
-        strong.where("far")
-        .join(depth.select(F.col("v").alias("p"), F.col("depth").alias("dp")), "p")
-        .join(depth.select(F.col("v").alias("c"), F.col("depth").alias("dc")), "c")
-        .select(F.col("c").alias("v"), (F.col("dc") - F.col("dp")).alias("r"))
-    )
-    at = ways.unionByName(strong.where("NOT far").select(F.explode(F.array("p", "c")).alias("v"), F.lit(0).cast("long").alias("r")))
-    at = space.write(at.groupBy("v").agg(F.max("r").alias("r")), "ways")
-    for k in reversed(range(len(forest.jumps))):  # (v, r) stands for v and the r pages above it
-        step = 1 << k
-        long = at.where(F.col("r") >= step)
-        upper = long.join(forest.jumps[k], "v").select(F.col("a").alias("v"), (F.col("r") - step).alias("r"))
-        lower = at.select("v", F.least("r", F.lit(step - 1)).alias("r"))
-        at = space.write(upper.unionByName(lower).groupBy("v").agg(F.max("r").alias("r")), "ways")
-    return at.select("v").union(forest.loops).distinct()
+    columns = ["v", "root", "near", "lft", "rgt"]
+    pages = at.select(*columns).unionByName(leaves.select(*columns))
+    heads = forest.extra.select(F.col("c").alias("v")).distinct().withColumn("head", F.lit(True))
+    ends = forest.extra.select(F.explode(F.array("p", "c")).alias("v")).distinct()
+    ends = space.write(pages.join(ends, "v", "left_semi").join(heads, "v", "left"), "ends")
+    side = lambda s: ends.select(*[F.col(c).alias(f"{c}_{s}") for c in ("v", "root", "near", "head", "lft", "rgt")])
+    links = forest.extra.join(side("p"), F.col("p") == F.col("v_p")).join(side("c"), F.col("c") == F.col("v_c"))
+    same = F.col("root_p") == F.col("root_c")
+    back = same & F.col("lft_p").between(F.col("lft_c"), F.col("rgt_c"))
+    ahead = same & F.col("lft_c").between(F.col("lft_p"), F.col("rgt_p"))
+    gate = F.when(F.col("head_p"), F.col("p")).otherwise(F.col("near_p"))
+    links = links.select("p", "c", F.col("root_p").alias("root"), F.col("lft_c").alias("top"), F.col("lft_p").alias("bottom"), gate.alias("gate"), back.alias("back"), ahead.alias("ahead"))
+    links = space.write(links.where("back OR NOT ahead"), "further")
+    ways = links.where("back").select("root", "top", "bottom")
+    if not links.where("NOT back").isEmpty():
+        down = ends.where("head AND near IS NOT NULL").select(F.col("near").alias("p"), F.col("v").alias("c"), F.col("lft").alias("b"))
+        across = links.where("gate IS NOT NULL AND gate <> c").select(F.col("gate").alias("p"), "c", F.col("bottom").alias("b"))
+        strong = _strong(space, down.unionByName(across))
+        tops = ends.select(F.col("v").alias("p"), "root", F.col("lft").alias("top"))
+        ways = ways.unionByName(strong.join(tops, "p").select("root", "top", F.col("b").alias("bottom")))
+    events = ways.select("root", F.explode(F.array(
+        F.struct((2 * F.col("bottom")).alias("at"), F.lit(1).alias("w")), F.struct((2 * F.col("top") - 1).alias("at"), F.lit(-1).alias("w"))
+    )).alias("x")).select("root", "x.*")
+    events = space.write(events.groupBy("root", "at").agg(F.sum("w").alias("w")), "events")
+    asked = pages.join(events.select("root").distinct(), "root", "left_semi").select("root", "v", F.explode(F.array(
+        F.struct((2 * F.col("rgt")).alias("at"), F.lit(1).alias("sign")), F.struct((2 * F.col("lft") - 1).alias("at"), F.lit(-1).alias("sign"))
+    )).alias("x")).select("root", "v", "x.*")
+    none = F.lit(None)
+    line = asked.withColumn("w", F.lit(0).cast("long")).unionByName(events.select("root", none.cast("long").alias("v"), "at", none.cast("int").alias("sign"), "w"))
+    summed = _prefix(line, "root", F.shiftright("at", 16), ["at"], "w", "sum", ties=True)
+    inside = summed.where("v IS NOT NULL").groupBy("v").agg(F.sum(F.col("sign") * F.col("sum")).alias("n")).where("n > 0")
+    return inside.select("v").unionByName(forest.loops).distinct()
 
 
 def circles(edges: DataFrame, **columns: str) -> DataFrame:
-    """(run, url) of the pages on a circle of links within one run; a page that links to itself is one. See
-    `build_forest` for nulls and repeated links. An empty table gives no rows."""
+    """(run_id, url) of the pages on a circle of links within one run; a page that links to itself is one. See
+    `build_forest` for nulls and repeated links. An empty table gives no rows. Ranges are computed for the trees that links
+    beyond the parent links touch; the others hold no circle."""
     forest = build_forest(edges, **columns)
-    return forest.nodes.join(circle_nodes(forest), "v", "left_semi").select(F.col("run").alias("run_id"), "url")
-
-
-def nested_sets(forest: Forest, paths: bool = True) -> DataFrame:
-    """Each page with its nested-set range: v, root, depth, size, lft, rgt (and path).
-
-    Subtree sizes are summed upward along the jumps; siblings get their ranges by prefix sums of sizes, taken within
-    parts of a page's children so that a page with a third of all links under it is spread; the offsets are summed
-    downward along the same jumps.
-    """
-    space = forest.space
-    sizes = space.write(forest.state.select("v", F.lit(1).cast("long").alias("size")), "size")
-    for jump in forest.jumps:
-        add = jump.join(sizes, "v").groupBy(F.col("a").alias("v")).agg(F.sum("size").alias("more"))
-        sizes = space.write(sizes.join(add, "v", "left").select("v", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "size")
-    kids = forest.parent.where("a IS NOT NULL").join(sizes, "v").withColumn("part", F.pmod(F.shiftright("v", 48), F.lit(256)))
-    by_part = kids.groupBy("a", "part").agg(F.sum("size").alias("part_size"))
-    w = Window.partitionBy("a").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    by_part = by_part.select("a", "part", F.coalesce(F.sum("part_size").over(w), F.lit(0)).alias("before_part"))
-    w = Window.partitionBy("a", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = kids.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).join(by_part, ["a", "part"])
-    offsets = offsets.select("v", (F.col("before_part") + F.col("before") + 1).alias("off"))
-    at = sizes.join(offsets, "v", "left").select("v", "size", F.coalesce("off", F.lit(0)).alias("off"))
-    at = forest.state.select("v", "root", "depth").join(at, "v")
-    if paths:
-        at = at.join(forest.nodes.select("v", F.array("url").alias("path")), "v")
-    # after round k the pages less than 2^k deep are done and stay in the part they are in; only deeper ones are written on
-    part, done = space.write(at, "offset"), None
-    for k, jump in enumerate(forest.jumps):
-        ready = part.where(F.col("depth") < (1 << k))
-        done = ready if done is None else done.unionByName(ready)
-        own = part.where(F.col("depth") >= (1 << k))
-        every = done.unionByName(own)
-        above = every.select(F.col("v").alias("a"), F.col("off").alias("more"), *([F.col("path").alias("head")] if paths else []))
-        out = own.join(jump, "v").join(above, "a").select(
-            "v", "root", "depth", "size", (F.col("off") + F.col("more")).alias("off"), *([F.concat("head", "path").alias("path")] if paths else [])
-        )
-        part = space.write(out, "offset")
-    every = part if done is None else done.unionByName(part)
-    return every.select("v", "root", "depth", "size", (F.col("off") + 1).alias("lft"), (F.col("off") + F.col("size")).alias("rgt"), *(["path"] if paths else []))
+    inner, leaves = _touched(forest)
+    at = forest.space.write(nested_sets(forest, inner), "sets")
+    found = circle_pages(forest, at, _with_leaves(forest, leaves, at))
+    return forest.pages.join(forest.space.write(found, "found"), "v", "left_semi").select(F.col("run").alias("run_id"), "url").distinct()
 
 
 def further_ranges(forest: Forest, sets: DataFrame) -> DataFrame:
@@ -283,19 +319,20 @@ def further_ranges(forest: Forest, sets: DataFrame) -> DataFrame:
     A page reaches, by its further links and those of the pages under it, the heads they lead to; the heads' own reach is
     closed by doubling. Of a page's ranges only those that lie in no other of them, its own included, are kept: ranges of
     a forest are nested or apart, so they are disjoint. The pairs (page, head) are as many as the answer has, before that.
+    sets: v, run, root, lft, rgt, path of all pages.
     """
     space = forest.space
-    above = forest.extra.select("p", F.col("p").alias("v")).distinct()
-    for jump in forest.jumps:  # after round k the pages less than 2^k above each tail
-        above = space.write(above.unionByName(above.join(jump, "v").select("p", F.col("a").alias("v"))), "above")
+    tails = sets.join(forest.extra.select(F.col("p").alias("v")).distinct(), "v", "left_semi")
+    above = tails.select(F.col("v").alias("p"), "run", F.explode("path").alias("url")).select("p", F.xxhash64("run", "url").alias("v"))
     first = space.write(above.join(forest.extra, "p").select("v", "c").distinct(), "reach")
     heads = forest.extra.select(F.col("c").alias("v")).distinct()
     closed, size = space.write(first.join(heads, "v", "left_semi"), "closed"), -1
     now = closed.count()
     while now != size:
         on = closed.alias("s").join(closed.alias("t"), F.col("s.c") == F.col("t.v")).select("s.v", "t.c")
-        closed, size = space.write(closed.unionByName(on).distinct(), "closed"), now
-        now = closed.count()
+        new, size = space.write(closed.unionByName(on).distinct(), "closed"), now
+        space.drop(closed)
+        closed, now = new, new.count()
     on = first.alias("s").join(closed.alias("t"), F.col("s.c") == F.col("t.v")).select("s.v", "t.c")
     reach = space.write(first.unionByName(on).distinct(), "reach")
     place = sets.select("v", "root", "lft", "rgt")
@@ -311,7 +348,7 @@ def further_ranges(forest: Forest, sets: DataFrame) -> DataFrame:
     ).where(F.size("ranges") > 0)
 
 
-def hierarchy(edges: DataFrame, paths: bool = True, **columns: str) -> DataFrame:
+def hierarchy(edges: DataFrame, **columns: str) -> DataFrame:
     """Each page of each run with parent_url, root_url (start page), depth, descendants (how many in the tree), lft and rgt,
     path (urls from the start page down to it), on_circle, all_descendants (how many by all links) and further_ranges.
 
@@ -319,22 +356,32 @@ def hierarchy(edges: DataFrame, paths: bool = True, **columns: str) -> DataFrame
     own lft and rgt. Those that further links of pages with several parents add lie in further_ranges (root_url, lft, rgt),
     which is empty where they add none; the page itself, if a circle leads back to it, isn't counted. `descendants_of`
     lists all of them. Ancestors by parent links are those whose range holds a page's lft. Pages on or under a circle that
-    no start page leads to hang under that circle's lowest page (by hash). See `build_forest` for nulls, repeated links and
+    no start page leads to hang under that circle's page with the lowest url. See `build_forest` for nulls, repeated links and
     several parents. An empty table gives no rows.
     """
     forest = build_forest(edges, **columns)
-    sets = forest.space.write(nested_sets(forest, paths), "sets")
-    names = forest.nodes.select("v", "url")
-    root = names.select(F.col("v").alias("root"), F.col("url").alias("root_url"))
-    up = forest.parent.where("a IS NOT NULL").join(names.select(F.col("v").alias("a"), F.col("url").alias("parent_url")), "a").select("v", "parent_url")
-    on = circle_nodes(forest).select("v", F.lit(True).alias("on_circle"))
+    space = forest.space
+    lone = forest.loops.join(forest.inner.select("v").union(forest.leaves.select("v")), "v", "left_anti")  # linked with itself only
+    nothing = F.lit(None).cast("long")
+    lone = lone.select("v", nothing.alias("up"), F.col("v").alias("root"), F.lit(0).alias("depth"), nothing.alias("near"), F.lit(1).cast("long").alias("size"))
+    names = space.write(forest.pages.distinct(), "names")
+    at = space.write(nested_sets(forest, forest.inner.unionByName(lone), names), "sets")
+    leaves = _with_leaves(forest, forest.leaves, at).join(names.select("v", "url"), "v")
+    leaves = leaves.withColumn("path", F.concat("path", F.array("url"))).drop("url")
+    sets = space.write(at.unionByName(leaves).join(names, "v"), "sets")
+    ends = forest.extra.select(F.explode(F.array("p", "c")).alias("v")).distinct()
+    touched = sets.join(forest.extra.select(F.explode(F.array("p", "c")).alias("v")).join(sets, "v").select("root").distinct(), "root", "left_semi")
+    deep = touched.where("size > 1")
+    single = touched.where("size = 1").join(ends, "v", "left_semi")
+    on = circle_pages(forest, deep, single).select("v", F.lit(True).alias("on_circle"))
     more = further_ranges(forest, sets)
+    root = names.select(F.col("v").alias("root"), F.col("url").alias("root_url"))
     each = more.select("v", "reached", F.explode("ranges").alias("r")).select("v", "reached", "r.*").join(root, "root")
     more = each.groupBy("v").agg(F.first("reached").alias("reached"), F.sort_array(F.collect_list(F.struct("root_url", "lft", "rgt"))).alias("further_ranges"))
-    out = forest.nodes.join(sets, "v").join(up, "v", "left").join(root, "root").join(on, "v", "left").join(more, "v", "left")
+    out = sets.join(on, "v", "left").join(more, "v", "left")
     return out.select(
-        F.col("run").alias("run_id"), "url", "parent_url", "root_url", "depth", (F.col("size") - 1).alias("descendants"),
-        "lft", "rgt", *(["path"] if paths else []), F.coalesce("on_circle", F.lit(False)).alias("on_circle"),
+        F.col("run").alias("run_id"), "url", F.when(F.col("depth") > 0, F.element_at("path", -2)).alias("parent_url"), F.get("path", F.lit(0)).alias("root_url"),
+        F.col("depth").cast("long").alias("depth"), (F.col("size") - 1).alias("descendants"), "lft", "rgt", "path", F.coalesce("on_circle", F.lit(False)).alias("on_circle"),
         F.coalesce("reached", F.col("size") - 1).alias("all_descendants"),
         F.coalesce("further_ranges", F.array().cast("array<struct<root_url:string,lft:bigint,rgt:bigint>>")).alias("further_ranges"),
     )
@@ -342,12 +389,16 @@ def hierarchy(edges: DataFrame, paths: bool = True, **columns: str) -> DataFrame
 
 def descendants_of(tree: DataFrame, some: DataFrame) -> DataFrame:
     """(run_id, url, descendant, distance) for the pages of `some` (run_id, url), by their nested-set ranges and further
-    ranges. distance is null for descendants that only further links lead to."""
+    ranges. distance is null for descendants that only further links lead to.
+
+    Positions are cut into blocks: a range meets each block it touches, so the join is by tree and block, and a tree with a
+    third of all pages is spread."""
     a = tree.join(some.select("run_id", "url").distinct(), ["run_id", "url"], "left_semi")
     own = F.struct("root_url", "lft", "rgt")
-    a = a.select("run_id", "url", "depth", own.alias("own"), F.explode(F.concat(F.array(own), "further_ranges")).alias("r")).alias("a")
-    d = tree.alias("d")
-    on = (F.col("a.run_id") == F.col("d.run_id")) & (F.col("a.r.root_url") == F.col("d.root_url"))
+    a = a.select("run_id", "url", "depth", own.alias("own"), F.explode(F.concat(F.array(own), "further_ranges")).alias("r"))
+    a = a.withColumn("block", F.explode(F.sequence(F.shiftright("r.lft", 10), F.shiftright("r.rgt", 10)))).alias("a")
+    d = tree.select("run_id", "root_url", "lft", "url", "depth", F.shiftright("lft", 10).alias("block")).alias("d")
+    on = (F.col("a.run_id") == F.col("d.run_id")) & (F.col("a.r.root_url") == F.col("d.root_url")) & (F.col("a.block") == F.col("d.block"))
     inside = (F.col("d.lft") >= F.col("a.r.lft")) & (F.col("d.lft") <= F.col("a.r.rgt")) & (F.col("d.url") != F.col("a.url"))
     below = (F.col("d.root_url") == F.col("a.own.root_url")) & F.col("d.lft").between(F.col("a.own.lft"), F.col("a.own.rgt"))
     found = a.join(d, on & inside).where(~below | (F.col("a.r") == F.col("a.own")))

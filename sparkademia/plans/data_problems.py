@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkademia.operators import grid, hierarchy, skew, units
-from sparkademia.session import table
+from sparkademia.session import Workspace, table
 
 
 def _fees(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,10 @@ def p4_domains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    hot = skew.frequent_keys(domain_states(spark, d), "left_rows", 1 / 50)
+    """The domains with a fiftieth of all rows, from the rolled-up states of the join; these are written once, and the
+    total is taken from them."""
+    states = Workspace(spark, "domains").write(domain_states(spark, d), "states")
+    hot = skew.frequent_keys(states, "left_rows", 1 / 50)
     return hot.where(F.col("domain").isNotNull()).select("domain")
 
 
@@ -69,12 +72,19 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).where("filled").select("worker_id", "slot_start")
+    """The slots of the grid that the regression filled; the grid is written with their values."""
+    filled = Workspace(spark, "grid").write(_grid(spark, d).where("filled"), "filled")
+    return filled.where("process_cpu_percent IS NOT NULL AND process_rss_mb IS NOT NULL").select("worker_id", "slot_start")
 
 
 def p7_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Path, depth, start page and nested-set range of every page of every run."""
-    return hierarchy.hierarchy(table(spark, d, "crawl_edges"))
+    """Path, depth, start page and number of descendants of every page of every run."""
+    return hierarchy.hierarchy(table(spark, d, "crawl_edges")).drop("lft", "rgt", "further_ranges")
+
+
+def p7_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The nested-set ranges that hold all descendants of every page of every run."""
+    return hierarchy.hierarchy(table(spark, d, "crawl_edges")).select("run_id", "url", "root_url", "lft", "rgt", "further_ranges")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +92,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_normalised, p4_found, p4_domains, p5_found, p5_grid, p7_found, p7_hierarchy)}
+    return {f.__name__: f for f in (p1_found, p1_normalised, p4_found, p4_domains, p5_found, p5_grid, p7_found, p7_hierarchy, p7_ranges)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -105,4 +115,23 @@ def oracle_sql() -> dict[str, str]:
             WITH RECURSIVE e AS (SELECT DISTINCT run_id, parent_url p, child_url c FROM crawl_edges),
             r AS (SELECT run_id, p, c FROM e UNION SELECT r.run_id, r.p, e.c FROM r JOIN e ON e.run_id = r.run_id AND e.p = r.c)
             SELECT DISTINCT run_id, p AS url FROM r WHERE p = c""",
+        "p7_hierarchy": """
+            WITH RECURSIVE e AS (SELECT run_id, parent_url AS p, child_url AS c, min(id) AS o FROM crawl_edges
+                                 WHERE run_id IS NOT NULL AND parent_url IS NOT NULL AND child_url IS NOT NULL GROUP BY ALL),
+            n AS (SELECT run_id, p AS u FROM e UNION SELECT run_id, c FROM e),
+            first AS (SELECT run_id, c AS u, arg_min(p, o) AS up FROM e WHERE p <> c GROUP BY run_id, c),
+            k AS (SELECT run_id, u, up FROM first UNION
+                  SELECT k.run_id, k.u, f.up FROM k JOIN first f ON f.run_id = k.run_id AND f.u = k.up),
+            cut AS (SELECT run_id, u FROM k SEMI JOIN (SELECT run_id, u FROM k WHERE u = up) r USING (run_id, u)
+                    GROUP BY run_id, u HAVING min(up) = u),
+            f AS (SELECT * FROM first ANTI JOIN cut USING (run_id, u)),
+            t AS (SELECT run_id, u, NULL::VARCHAR AS up, u AS root, 0::BIGINT AS depth, [u] AS path FROM n ANTI JOIN f USING (run_id, u)
+                  UNION ALL SELECT f.run_id, f.u, f.up, t.root, t.depth + 1, list_append(t.path, f.u)
+                  FROM f JOIN t ON t.run_id = f.run_id AND t.u = f.up),
+            b AS (SELECT run_id, u, count(*) - 1 AS n FROM (SELECT run_id, unnest(path) AS u FROM t) GROUP BY ALL),
+            r AS (SELECT run_id, p, c FROM e UNION SELECT r.run_id, r.p, e.c FROM r JOIN e ON e.run_id = r.run_id AND e.p = r.c),
+            a AS (SELECT run_id, p AS u, count(*) FILTER (p <> c) AS n, bool_or(p = c) AS ring FROM r GROUP BY ALL)
+            SELECT t.run_id, t.u AS url, t.up AS parent_url, t.root AS root_url, t.depth, b.n AS descendants, t.path,
+                   coalesce(a.ring, false) AS on_circle, coalesce(a.n, 0) AS all_descendants
+            FROM t JOIN b USING (run_id, u) LEFT JOIN a USING (run_id, u)""",
     }

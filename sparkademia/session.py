@@ -28,10 +28,12 @@ def local_session(cores: str = "8", memory: str = "8g", shuffle_partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where the session has none (tests, a single
-    machine) is one made."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where the session has none and everything runs in one
+    process (tests, the local bench) is one made; on a cluster the setting must be there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkademia-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

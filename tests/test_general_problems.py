@@ -158,14 +158,6 @@ def test_grid_slots_and_bridges(spark):
 
 
 def test_grid_recovers_a_season(spark):
-    t = [30.0 * i for i in range(2000) if not 700 <= i < 760 and i % 7]
-    f = lambda s: 50 + 10 * np.sin(2 * np.pi * s / 3600) + s / 6000
-    df = spark.createDataFrame([("w", s, float(f(s)), 1.0, None) for s in t], GRID)
-    out = grid.regular_grid(df, "w", F.col("t"), ["a", "b"], periods=(3600.0, 86400.0)).where("filled").collect()
-    assert len(out) > 300 and max(abs(r.a - f(r.slot_start)) for r in out) < 1.0
-
-
-def test_grid_recovers_a_season_of_an_hour_by_default(spark):
     t = [30.0 * i for i in range(2000) if not 700 <= i < 760 and i % 7]
     f = lambda s: 50 + 10 * np.sin(2 * np.pi * s / 3600) + s / 6000
     df = spark.createDataFrame([("w", s, float(f(s)), 1.0, None) for s in t], GRID)
