@@ -14,33 +14,28 @@ from pyspark.sql import types as T
 from sparkademia.session import Workspace
 
 
-#: A time in words: the date's parts, the time's, a fraction, and an offset.
-_CLOCK = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})[T ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})([.,][0-9]+)?)? *(?:Z|z|UTC|GMT|([+-][0-9]{2}):?([0-9]{2})?)?$"
+#: A time in words: date, time, fraction, zone.
+_DAY = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})[T ]+"
+_ZONE = r"(?:Z|z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2})"
+_CLOCK = rf"{_DAY}[0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}}(?:[.,][0-9]+)?)? *{_ZONE}?$"
 
 
 def epoch_seconds(text: Column) -> Column:
     """Epoch seconds (double) of a time written as date and time with -, / or . between the date's parts and a blank or T
     before the time, with or without fraction, Z or an offset, or as epoch seconds, milliseconds or microseconds in
-    digits. UTC unless an offset is named. Null for anything else, also for days that don't exist.
+    digits. UTC unless an offset is named, whatever the session's zone. Null for anything else, also for days that don't
+    exist. Fractions count to the microsecond.
 
-    The text is cut by one regular expression, whose parts are then read from an array."""
+    The text is brought to the one notation that Spark's own cast reads."""
     t = F.trim(text)
-    parts = F.split(F.regexp_replace(t, _CLOCK, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), "[|]")
-    return F.get(F.transform(F.array(F.struct(t.alias("t"), parts.alias("p"))), lambda x: _clock(x["t"], x["p"])), F.lit(0))
-
-
-def _clock(t: Column, p: Column) -> Column:
+    clock = F.upper(F.regexp_replace(F.translate(t, ",", "."), _DAY, "$1-$2-$3T"))
+    clock = F.when(t.rlike(_ZONE + "$"), F.translate(clock, " ", "")).otherwise(F.concat(clock, F.lit("Z")))
+    minutes = F.regexp_replace(clock, "(T[0-9]{1,2}:[0-9]{2})(?=[^:0-9]|$)", "$1:00")  # without seconds; the cast wants them
+    stamp = F.coalesce(clock.try_cast("timestamp"), minutes.try_cast("timestamp"))
     number = t.try_cast("double")
     whole = F.length(F.split_part(t, F.lit("."), F.lit(1)))
-    digits = whole.between(9, 17) & number.isNotNull() & ~t.rlike("[^0-9.]")
     epoch = F.when(whole <= 11, number).when(whole <= 14, number / 1e3).otherwise(number / 1e6)
-    part = lambda k: F.get(p, F.lit(k))
-    num = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
-    day = F.try_make_timestamp(num(0), num(1), num(2), num(3), num(4), num(5).cast("decimal(8,6)"), F.lit("UTC"))
-    fraction = F.coalesce(F.concat(F.lit("0."), F.nullif(F.substring(part(6), 2, 9), F.lit(""))).try_cast("double"), F.lit(0.0))
-    sign = F.when(part(7).startswith("-"), -1).otherwise(1)
-    clock = (F.unix_micros(day) / 1e6 + fraction) - (num(7) * 3600 + sign * num(8) * 60)
-    return F.when(F.size(p) == 9, clock).when(digits, epoch)
+    return F.when(t.rlike(_CLOCK), F.unix_micros(stamp) / 1e6).when(t.rlike(r"^[0-9]{9,17}(\.[0-9]+)?$"), epoch)
 
 
 def _basis(t: Column, periods: Sequence[float], harmonics: int) -> list[Column]:

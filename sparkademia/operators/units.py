@@ -14,14 +14,14 @@ from sparkademia.session import Workspace
 
 # How currencies are written, as regular expressions over the lower-cased text, in order of precedence.
 CURRENCY_WORDS = [
-    ("AUD", r"\baud\b|au ?\$|\ba ?\$|\baus(tralian)? dollar|aud"),
-    ("CAD", r"\bcad\b|ca ?\$|\bc ?\$|\bcdn|canadian dollar|cad"),
-    ("BRL", r"brl|r ?\$|\breais\b|\breal\b|centavo"),
-    ("GBP", r"gbp|ukp|£|pound|pence|\bpenny\b|^p$|sterling"),
-    ("EUR", r"eur|€"),
-    ("JPY", r"jpy|\byen\b|円|¥|￥"),
-    ("PLN", r"pln|zł|zlot|grosz"),
-    ("USD", r"usd|us ?\$|us dollar|us cent|dollar|\$"),
+    ("AUD", r"\bk?aud\b|au ?\$|\ba ?\$|\baus(tralian)? dollar"),
+    ("CAD", r"\bk?cad\b|ca ?\$|\bc ?\$|\bcdn|canadian dollar"),
+    ("BRL", r"\bk?brl\b|r ?\$|\breais\b|\breal\b|centavo"),
+    ("GBP", r"\bk?gbp\b|\bukp\b|£|\bpounds?\b|\bpence\b|\bpenny\b|^p$|sterling"),
+    ("EUR", r"\bk?eur(o|os|ocents?)?\b|€"),
+    ("JPY", r"\bk?jpy\b|\byen\b|円|¥|￥"),
+    ("PLN", r"\bk?pln\b|zł|zlot|grosz"),
+    ("USD", r"\bk?usd\b|us ?\$|us dollar|us cent|dollar|\$"),
 ]
 # Scales of the currency text and of the note.
 CURRENCY_SCALES = [
@@ -125,8 +125,8 @@ PERIOD_FEATURES = [f for f in FEATURES if f != "months"] + ["iso_code"]
 SCALE_FEATURES = ["raw_amount", "months", "level_code", "fee_code", "type_code", "country_code", "log_monthly", "raw_ratio"]
 
 
-def _code(c: Column, buckets: int = 32) -> Column:
-    """A category as a number; trees split on it. Missing is -1."""
+def _code(c: Column, buckets: int = 1 << 20) -> Column:
+    """A category as a number; trees split on it. So many numbers that categories hardly ever share one. Missing is -1."""
     return F.when(c.isNull() | (F.trim(c) == ""), F.lit(-1.0)).otherwise(F.pmod(F.xxhash64(F.lower(F.trim(c))), F.lit(buckets)).cast("double"))
 
 
@@ -164,28 +164,28 @@ class CurrencyModel:
         self.forest = self.calibration = None
         self.labels: list[str] = []
 
-    def fit(self, rows: DataFrame, codes: list[str]) -> "CurrencyModel":
+    def fit(self, rows: DataFrame) -> "CurrencyModel":
         """rows: the features and the target. At most `sample_rows` of them, those with the lowest hash of their id, are used: the
-        one bound of this operator, and only of its training."""
+        one bound of this operator, and only of its training. The labels are those of the sample."""
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
         from pyspark.ml.regression import IsotonicRegression
 
-        self.labels = sorted(codes)
+        kept = [F.coalesce(F.col(f), F.lit(-1)).cast("double").alias(f) for f in self.features]
+        some = rows.where(F.col(self.target).isNotNull()).orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(self.sample_rows)
+        some = some.select(self.target, F.pmod(F.xxhash64("id"), F.lit(4)).alias("fold"), *kept).persist()
+        self.labels = sorted(r[0] for r in some.select(self.target).distinct().collect())
         if not self.labels:
+            some.unpersist()
             return self
         label = F.array_position(F.array(*[F.lit(c) for c in self.labels]), F.col(self.target)) - 1
-        some = (
-            rows.where(F.col(self.target).isin(*self.labels))
-            .orderBy(F.xxhash64("id", F.lit(self.seed)), "id")
-            .limit(self.sample_rows)
-            .select(label.cast("double").alias("label"), F.pmod(F.xxhash64("id"), F.lit(4)).alias("fold"), *[F.coalesce(F.col(f), F.lit(-1)).cast("double").alias(f) for f in self.features])
-        )
-        vectors = VectorAssembler(inputCols=self.features, outputCol="features").transform(some).select("label", "fold", "features").persist()
+        labelled = some.select(label.cast("double").alias("label"), "fold", *self.features)
+        vectors = VectorAssembler(inputCols=self.features, outputCol="features").transform(labelled).select("label", "fold", "features").persist()
         train, held = vectors.where("fold > 0"), vectors.where("fold = 0")
         if train.limit(10).count() < 10 or held.limit(1).count() < 1:
             vectors.unpersist()
+            some.unpersist()
             return self
         self.forest = RandomForestClassifier(
             numTrees=self.trees, maxDepth=self.depth, seed=self.seed, maxBins=64, subsamplingRate=0.8
@@ -195,6 +195,7 @@ class CurrencyModel:
         )
         self.calibration = IsotonicRegression(featuresCol="top", labelCol="hit").fit(scored)
         vectors.unpersist()
+        some.unpersist()
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -250,7 +251,6 @@ def normalise_fees(
         (F.col("amount").isNotNull() & stated_months(kind, note).isNull() & ~piece_price(kind, note)).alias("period_open"),
         F.coalesce(F.lower(F.trim(kind)).isin(*TYPE_MONTHS), F.lit(False)).alias("typed"),
     )
-    codes = sorted(r[0] for r in rates.select("currency").where(F.col("currency").isNotNull()).distinct().limit(1000).collect())
     if sources is not None:
         p = p.join(sources.select(F.col("pattern_id").alias("id"), "country"), "id", "left")
     else:
@@ -260,8 +260,8 @@ def normalise_fees(
     labelled = x.where("stated_iso IS NOT NULL AND amount IS NOT NULL")
 
     def learnt(rows: DataFrame, target: str, features: list[str], wanted: DataFrame) -> CurrencyModel:
-        found = [] if wanted.isEmpty() else [r[0] for r in rows.select(target).distinct().limit(1000).collect()]
-        return CurrencyModel(target=target, features=features).fit(rows, found)
+        m = CurrencyModel(target=target, features=features)
+        return m if wanted.isEmpty() else m.fit(rows)
 
     def apply(rows: DataFrame, m: CurrencyModel, where: str, name: str) -> DataFrame:
         """Adds `name` (what is predicted, null where unsure) and its probability for the rows of `where`."""
@@ -275,7 +275,7 @@ def normalise_fees(
     x = apply(x, learnt(scales, "scale_text", SCALE_FEATURES, x.where("scale_open")), "scale_open", "scale_found")
     x = _scaled(x.withColumn("scale", F.when(F.col("scale_open"), F.col("scale_found").cast("double")).otherwise(F.col("scale"))))
     if model is None:
-        model = CurrencyModel().fit(labelled.withColumnRenamed("stated_iso", "iso"), codes)
+        model = learnt(labelled.withColumnRenamed("stated_iso", "iso"), "iso", FEATURES, x.where("stated_iso IS NULL"))
     x = apply(x, model, "stated_iso IS NULL", "iso_found")
     x = x.withColumn("iso_currency", F.coalesce("stated_iso", "iso_found")).withColumn("iso_code", _code(F.col("iso_currency")))
     x = space.write(x, "currencies")
