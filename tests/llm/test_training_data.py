@@ -8,7 +8,7 @@ import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
-from sparkademia.functions.eliasfano import EliasFano, SeenKeys
+from sparkademia.llm.eliasfano import EliasFano, SeenKeys
 from sparkademia.llm import canonical, leakage, mixing, mojibake, queries, seen, survivor
 
 U64 = np.uint64
@@ -75,6 +75,35 @@ def test_seen_before(spark):
     assert (r.total_rows, r.wrong_rate) == (0, 0.0)
 
 
+def test_sets_are_kept_between_batches(spark):
+    from sparkademia.session import Workspace
+
+    rng = random.Random(14)
+    rows = [(i, rng.choice(["a", "b", None]), f"u{rng.randint(0, 300)}", "h", "r") for i in range(900)]
+    want = {r.id for r in seen.seen_before(spark.createDataFrame(rows, KEYS), ["domain", "url"], "id").collect()}
+    store, got = seen.SeenStore(Workspace(spark, "seen"), 3, least=16), set()
+    for start in (0, 300, 600):
+        got |= {r.id for r in store.batch(spark.createDataFrame(rows[start : start + 300], KEYS), ["domain", "url"], "id").collect()}
+    assert got == want and len(want) > 200
+    assert store.sets.count() <= 3
+
+
+def test_memory_a_key():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, 2_000_000, dtype=np.int64).astype(U64)
+    tracemalloc.start()
+    s = SeenKeys()
+    for i in range(0, len(keys), 50_000):
+        s.add(keys[i : i + 50_000])
+    s.flush()
+    per_key, peak = s.bytes / s.set.n, tracemalloc.get_traced_memory()[1] / s.set.n
+    tracemalloc.stop()
+    print("bytes a key: kept", round(per_key, 2), "peak", round(peak, 2))
+    assert per_key < 6.6 and peak < 24
+
+
 def test_error_rate_is_measured(spark):
     df = spark.range(3000).select("id", F.col("id").cast("string").alias("domain"), F.lit("u").alias("url"))
     r = seen.error_report(df, ["domain", "url"], "id", bits=20).first()
