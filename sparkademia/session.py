@@ -75,7 +75,10 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_workspace_path", None)
         if path:
-            _delete(self.spark, path)
+            self.delete(path)
+
+    def delete(self, path: str) -> None:
+        _delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
