@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 import uuid
+from collections.abc import Collection, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -15,12 +15,11 @@ from pyspark.sql import types as T
 
 from sparkademia.session import Workspace
 
-#: Awards that may stand before or after the subject.
-AWARDS = frozenset(
-    "ba bsc beng bba bcom bed bfa llb ma msc meng mba mphil mres mfa mpa mph msw msci mphys llm phd dphil dba edd"
-    " 学士 修士 博士".split()
-)
-_LONGEST_AWARD = 4  # pieces of an award that is written apart, as in "L. L. M."
+# Awards that may stand before or after the subject.
+AWARDS = (
+    "ba", "bsc", "beng", "bba", "bcom", "bed", "bfa", "llb", "ma", "msc", "meng", "mba", "mphil", "mres", "mfa", "mpa", "mph", "msw",
+    "msci", "mphys", "llm", "phd", "dphil", "dba", "edd", "学士", "修士", "博士",
+)
 
 
 @lru_cache(1 << 14)
@@ -65,17 +64,18 @@ def _words(text: str) -> list[str]:
     return out
 
 
-def name_key(text: str) -> str:
-    """The squeezed subject and the award, wherever that stands."""
+def name_key(text: str, awards: Collection[str] = AWARDS) -> str:
+    """The squeezed subject and the award, wherever that stands and in however many pieces, as in "L. L. M."."""
     words = _words(text)
-    for n in range(1, min(_LONGEST_AWARD, len(words)) + 1):
-        if (award := "".join(words[-n:])) in AWARDS:
+    pieces = min(max(map(len, awards), default=0), len(words))  # of a letter each at the least
+    for n in range(1, pieces + 1):
+        if (award := "".join(words[-n:])) in awards:
             return f"{squeeze(''.join(words[:-n]))}|{award}"
-    for n in range(1, min(_LONGEST_AWARD, len(words)) + 1):
-        if (award := "".join(words[:n])) in AWARDS:
+    for n in range(1, pieces + 1):
+        if (award := "".join(words[:n])) in awards:
             return f"{squeeze(''.join(words[n:]))}|{award}"
     flat = squeeze("".join(words))
-    for award in AWARDS:  # scripts without spaces
+    for award in awards:  # scripts without spaces
         if not award.isascii() and len(flat) > len(award):
             if flat.endswith(award):
                 return f"{flat[: -len(award)]}|{award}"
@@ -99,32 +99,66 @@ def url_key(text: str) -> str:
     return squeeze(address) + "?" + "&".join(sorted(params))
 
 
-def _digest(university, name, url, course) -> bytes:
+def _canonical(university, name, url, course, awards: Collection[str] = AWARDS) -> str:
+    """One text for all ways of writing a programme."""
     parts = (
-        "-" if university is None else str(university),
-        "-" if name is None else "+" + name_key(name),
+        "-" if university is None else "+" + university,
+        "-" if name is None else "+" + name_key(name, awards),
         "-" if url is None else "+" + url_key(url),
         "-" if course is None else "+" + squeeze(course),
     )
-    return hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return "\x1f".join(parts)
 
 
-@F.pandas_udf(T.BinaryType())
-def _program_key(u: pd.Series, n: pd.Series, s: pd.Series, c: pd.Series) -> pd.Series:
-    clean = lambda x: [None if v is None or v != v else v for v in x.tolist()]
-    return pd.Series([_digest(*r) for r in zip(clean(u), clean(n), clean(s), clean(c))], dtype=object)
+def _flat(c: Column) -> Column:
+    """`squeeze` of ASCII text."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def program_key() -> Column:
+def _ascii_name(c: Column, awards: Sequence[str]) -> Column:
+    """`name_key` of ASCII text."""
+    known = [a for a in awards if a.isascii()]
+    spaced = F.trim(F.regexp_replace(F.translate(F.lower(c), ".", ""), "[^a-z0-9]+", " "))
+    flat, words = F.translate(spaced, " ", ""), F.split(spaced, " ")
+    keyed = F.concat(flat, F.lit("|"))
+    for back in (False, True):  # what is tried first is put on last
+        for n in reversed(range(1, max(map(len, known), default=0) + 1)):
+            piece = [F.get(words, F.size(words) - n + i if back else F.lit(i)) for i in range(n)]
+            award = F.concat(*piece)  # null where there are fewer words
+            rest = F.length(flat) - F.length(award)
+            subject = F.substring(flat, F.lit(1), rest) if back else F.substring(flat, F.length(award) + 1, rest)
+            keyed = F.when(award.isin(known), F.concat(subject, F.lit("|"), award)).otherwise(keyed)
+    return keyed
+
+
+def _ascii_url(c: Column) -> Column:
+    """`url_key` of ASCII text."""
+    query = F.when(c.contains("?"), F.regexp_replace(c, r"(?s)^[^?]*\?", "")).otherwise("")
+    pair = lambda p: F.concat(_flat(F.substring_index(p, "=", 1)), F.lit("="), _flat(F.regexp_replace(p, "(?s)^[^=]*=?", "")))
+    params = F.array_sort(F.filter(F.transform(F.split(query, "[&;]"), pair), lambda p: p != "="))
+    return F.concat(_flat(F.substring_index(c, "?", 1)), F.lit("?"), F.when(query == "", "").otherwise(F.array_join(params, "&")))
+
+
+def program_key(awards: Sequence[str] = AWARDS) -> Column:
     """A 128-bit key that rows of one programme share however it is written: university_id, program_name, source_url and
     course_type apart from white space, case, punctuation, symbols, accent composition, the award's place and the order
-    of query parameters. Null equals only null; an empty text isn't null."""
-    return _program_key(
-        F.col("university_id").cast("string"),
-        F.col("program_name").cast("string"),
-        F.col("source_url").cast("string"),
-        F.col("course_type").cast("string"),
-    )
+    of query parameters. Null equals only null; an empty text isn't null. Rows in ASCII are read by Spark's own
+    functions; only the others go to Python, by the same rules."""
+    u, n, s, c = (F.col(x).cast("string") for x in ("university_id", "program_name", "source_url", "course_type"))
+    plain = F.lit(True)
+    for x in (n, s, c):
+        plain = plain & ~F.coalesce(x, F.lit("")).rlike(r"[^\x00-\x7F]")
+
+    @F.pandas_udf(T.StringType())
+    def written(u: pd.Series, n: pd.Series, s: pd.Series, c: pd.Series, plain: pd.Series) -> pd.Series:
+        clean = lambda x: [None if v is None or v != v else v for v in x.tolist()]
+        rows = zip(clean(u), clean(n), clean(s), clean(c), plain)
+        return pd.Series([None if p else _canonical(*r, awards) for *r, p in rows], dtype=object)
+
+    other = written(*[F.when(~plain, x) for x in (u, n, s, c)], plain)
+    part = lambda x, key: F.coalesce(F.concat(F.lit("+"), key), F.lit("-"))
+    text = F.concat_ws("\x1f", part(u, u), part(n, _ascii_name(n, awards)), part(s, _ascii_url(s)), part(c, _flat(c)))
+    return F.unhex(F.md5(F.coalesce(other, text)))
 
 
 class Ledger:
@@ -140,24 +174,24 @@ class Ledger:
         self.table: str | None = None
 
     def _store(self, df: DataFrame) -> None:
+        """A new version. What comes from an aggregate or join by key in as many partitions as there are buckets lies in them
+        already; else it is brought there."""
+        spark = self.space.spark
         name = f"ledger_{uuid.uuid4().hex[:12]}"
-        (
-            df.repartition(self.buckets, "key")
-            .write.bucketBy(self.buckets, "key")
-            .sortBy("key")
-            .option("path", f"{self.space.root}/{name}")
-            .option("compression", "zstd")
-            .format("parquet")
-            .saveAsTable(name)
-        )
-        if self.table:
-            self.space.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.table = name
+        if int(spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            df = df.repartition(self.buckets, "key")
+        path = f"{self.space.root}/{name}"
+        df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        old, self.table, self.path = self.table, name, path
+        if old:
+            spark.sql(f"DROP TABLE IF EXISTS {old}")
+            self.space.delete(f"{self.space.root}/{old}")
 
     def update(self, batch: DataFrame) -> None:
         """batch: key, id and the kept columns."""
-        row = F.struct("id", *self.keep)
-        new = batch.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(row).alias("first"))
+        # a lone id is kept by a hash aggregate, a row by a sort
+        first = F.min(F.struct("id", *self.keep)) if self.keep else F.min("id")
+        new = batch.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"))
         if self.table is None:
             return self._store(new)
         old = self.read()
@@ -169,6 +203,12 @@ class Ledger:
         )
         return self._store(merged)
 
+    def close(self) -> DataFrame:
+        """The ledger as a plain table; it leaves the catalog."""
+        out = self.space.spark.read.schema(self.read().schema).parquet(self.path)
+        self.space.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        return out
+
     def read(self) -> DataFrame:
         return self.space.spark.table(self.table)
 
@@ -188,7 +228,7 @@ def _prepared(programs: DataFrame, batches: int, buckets: int | None, keep: tupl
     step = max(1, -(-(high - low + 1) // batches))
     for start in range(low, high + 1, step):  # at most `batches` rounds; arrival order is the order of id
         ledger.update(keyed.where(F.col("id").between(start, start + step - 1)))
-    return keyed, ledger
+    return keyed, ledger.close()
 
 
 def collapse(programs: DataFrame, batches: int = 4, buckets: int | None = None) -> DataFrame:
@@ -200,7 +240,7 @@ def collapse(programs: DataFrame, batches: int = 4, buckets: int | None = None)
     """
     keep = ("university_id", "program_name", "source_url", "course_type")
     _, ledger = _prepared(programs, batches, buckets, keep)
-    return ledger.read().select(
+    return ledger.select(
         F.col("first.id").alias("first_id"), "copies", *[F.col(f"first.{c}").alias(c) for c in keep]
     )
 
@@ -212,7 +252,7 @@ def copies_of(programs: DataFrame, batches: int = 4, buckets: int | None = None,
     group with a third of all rows isn't moved at all. The rest is joined by key.
     """
     keyed, ledger = _prepared(programs, batches, buckets, ())
-    counts = ledger.read().where("copies > 1").select("key", F.col("first.id").alias("first_id"), "copies")
+    counts = ledger.where("copies > 1").select("key", F.col("first").alias("first_id"), "copies")
     least = F.greatest(keyed.agg(F.count(F.lit(1))).scalar() * F.lit(hot_share), F.lit(2))
     hot = counts.where(F.col("copies") >= least).select("key", "first_id")
     cold = counts.where(F.col("copies") < least).select("key", "first_id")
