@@ -240,8 +240,8 @@ def test_leaks(spark):
     d, t = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(it, "item_id long, text string, suite string, doc_id string")
     got = leakage.leaks(d, t)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
-    blocks = leakage.leaks(d, t, leakage.LeakParams(item_block=5))
-    assert {(r.doc_id, r.item_id) for r in blocks.collect()} == want
+    crowded = leakage.leaks(d, t, leakage.LeakParams(filter_bits=19))  # a filter far too small lets more through
+    assert {(r.doc_id, r.item_id) for r in crowded.collect()} == want
     assert leakage.leaks(d.limit(0), t).count() == 0 and leakage.leaks(d, t.limit(0)).count() == 0
     assert leakage.leak_report(d, t).agg(F.sum("documents")).first()[0] == len(want)
 
@@ -262,11 +262,31 @@ def test_quotas():
 
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_splitting_tree(shards):
-    blocks = {"a": 40, "b": 7, "c": 0}
-    out = mixing.splitting_tree(blocks, shards, 1)
-    assert {s: int(n.sum()) for s, n in out.items()} == blocks and all((n >= 0).all() for n in out.values())
-    sizes = sum(out.values())
-    assert sizes.max() - sizes.min() <= shards
+    blocks = [40, 7, 0]
+    leaves = list(mixing.splitting_tree(blocks, shards, 1))
+    assert [x[0] for x in leaves] == list(range(shards))
+    for i, n in enumerate(blocks):
+        assert sum(x[2][i] for x in leaves) == n and all(x[2][i] >= 0 for x in leaves)
+        assert [x[3][i] for x in leaves] == [sum(y[2][i] for y in leaves[:k]) for k in range(shards)]
+    sizes = [sum(x[2]) for x in leaves]
+    assert max(sizes) - min(sizes) <= shards
+
+
+def test_hypergeometric_beyond_numpys_limit(monkeypatch):
+    rng = np.random.default_rng(5)
+    big = [mixing.hypergeometric(rng, 6 * 10**12, 4 * 10**12, 10**12) for _ in range(300)]
+    sd = (10**12 * 0.6 * 0.4 * 0.9) ** 0.5
+    assert abs(np.mean(big) - 6e11) < 4 * sd / 300**0.5 and 0.85 < np.std(big) / sd < 1.15
+    leaves = list(mixing.splitting_tree([3 * 10**10, 10**10, 5], 64, 2))
+    assert [sum(x[2][i] for x in leaves) for i in range(3)] == [3 * 10**10, 10**10, 5]
+    # the way beyond the limit against the exact distribution, on small numbers
+    real = np.random.default_rng(7)
+    small = []
+    for _ in range(4000):
+        a, b = int(real.binomial(30, 20 / 50)), int(real.binomial(20, 20 / 50))
+        small.append(a - mixing.hypergeometric(real, a, b, a + b - 20) if a + b > 20 else a + mixing.hypergeometric(real, 30 - a, 20 - b, 20 - a - b))
+    exact = np.random.default_rng(8).hypergeometric(30, 20, 20, 4000)
+    assert abs(np.mean(small) - 12) < 0.15 and abs(np.std(small) - np.std(exact)) < 0.1
 
 
 DOCS = "doc_id long, text string, source string, tokens string, shard string"
@@ -303,9 +323,9 @@ def test_a_scarce_source_does_not_shrink_the_mixture(spark, tmp_path):
 
 
 def test_token_counts(spark):
-    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "a b " * 60_000)], "i int, text string")
+    df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "a b " * 60_000), (5, "x" * 300_000)], "i int, text string")
     n = {r.i: r.tokens for r in mixing.token_counts(df, "text").collect()}
-    assert 2 <= n[1] <= 4 and n[2] == n[3] == 0 and 100_000 < n[4] < 250_000
+    assert 2 <= n[1] <= 4 and n[2] == n[3] == 0 and 100_000 < n[4] < 250_000 and n[5] > 10_000
 
 
 # --- garbled text -----------------------------------------------------------------------------------------------------
