@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +32,13 @@ WRONG_READINGS = [
     ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp1252", "cp437"),
     ("cp437", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "cp1251"), ("cp1250", "cp852"),
 ]
-# Chains of two steps: text garbled once and then again.
-TWICE = [(a, b) for a in range(2) for b in range(2)]
 _SINGLE = {"cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "iso8859_2", "iso8859_15", "koi8_r"}
 
+# Chains of two steps: text garbled once, saved as UTF-8, which holds any text, and read by a one-byte code page again. After a
+# first step of the most common readings any of them may follow; after the others, the two most common.
+_AGAIN = [k for k, (a, b) in enumerate(WRONG_READINGS) if a == "utf-8" and b in _SINGLE]
+TWICE = [(a, b) for a in range(len(WRONG_READINGS)) for b in (_AGAIN if a in _AGAIN else _AGAIN[:2])]
+
 _TOKEN = re.compile("[A-Za-z\u0080-\U0010ffff]+")
 #: Characters that only a wrong decoding leaves in a text: the replacement character, C1 controls, the private use area
 #: that double-byte code pages fill.
@@ -113,11 +117,16 @@ def forms(word: str) -> Iterator[tuple[str, int]]:
         for p in pieces:
             if not p.isascii() and p != word and _telling(true, read, p, whole):
                 yield p, k if whole else -1 - k
+    tried = set()
     for n, (a, b) in enumerate(TWICE):
-        if a in once and (g := garble(once[a], *WRONG_READINGS[b])) is not None:
+        if a not in once or "\ufffd" in once[a] or (once[a], b) in tried:  # many code pages agree on a word
+            continue
+        tried.add((once[a], b))
+        if (g := garble(once[a], *WRONG_READINGS[b])) is not None:
             pieces = _TOKEN.findall(g)
+            least = 2 if a < 2 and b < 2 else 4  # rarer chains leave short pieces that tell less
             for p in pieces:
-                if not p.isascii() and len(p) > 1 and p != word:
+                if not p.isascii() and len(p) >= least and p != word:
                     yield p, len(WRONG_READINGS) + n
 
 
@@ -136,6 +145,7 @@ def character_forms() -> re.Pattern:
         parts.append(some(leads) + some(range(0x80, 0xC0)))
         parts.append(re.escape(t[0xC2]) + some(range(0xA0, 0xC0)))
         parts.append(re.escape(t[0xE2]) + some((0x80, 0x82, 0x84, 0x86)) + some(range(0x80, 0xC0)))
+        parts.append(re.escape(t[0xEF] + t[0xBF] + t[0xBD]))  # the replacement character itself
     return re.compile("|".join(parts))
 
 
@@ -152,40 +162,67 @@ def _sorted(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def _hash(text: str) -> int:
+    """Spark's xxhash64 of a text."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _garbled_vocabulary(space: Workspace, tokens: DataFrame) -> DataFrame:
-    """(token, original, chain): the corpus's tokens that are a garbled form of another token of the corpus."""
-    vocabulary = space.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    """(token, original, chain): the corpus's tokens that are a garbled form of another token of the corpus.
+
+    Forms are made in as many tasks as a shuffle has and meet the tokens by their hashes, so that no form is moved as text;
+    what meets is spelled out and verified."""
+    spark = space.spark
+    vocabulary = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", F.xxhash64("token").alias("h"), "n")
+    vocabulary = space.write(vocabulary, "vocabulary")
+    names = ["h", "of", "chain"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, o, c, n = [], [], [], []
-            for word, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out: tuple[list, list, list] = ([], [], [])
+            for word, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for form, chain in set(forms(word)):
-                    g.append(form)
-                    o.append(word)
-                    c.append(chain)
-                    n.append(count)
-                if len(g) > 20_000:
-                    yield pa.RecordBatch.from_pydict({"token": g, "original": o, "chain": pa.array(c, pa.int32()), "n_original": pa.array(n, pa.int64())})
-                    g, o, c, n = [], [], [], []
-            yield pa.RecordBatch.from_pydict({"token": pa.array(g, pa.string()), "original": pa.array(o, pa.string()), "chain": pa.array(c, pa.int32()), "n_original": pa.array(n, pa.int64())})
-
-    table = vocabulary.mapInArrow(run, "token string, original string, chain int, n_original long")
-    # the key of the join is a hash, so that whole paragraphs of scripts without spaces aren't moved twice
-    hit = table.withColumn("h", F.xxhash64("token")).join(_sorted(vocabulary.select(F.xxhash64("token").alias("h"), F.col("token").alias("seen"), "n")), "h")
+                    out[0].append(_hash(form))
+                    out[1].append(own)
+                    out[2].append(chain)
+                if len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=names)
+                    out = ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=names)
+
+    spread = vocabulary.select("token", "h").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h")
+    table = spread.mapInArrow(run, "h long, of long, chain int")
+    hit = space.write(table.join(_sorted(vocabulary.select("h", "n")), "h"), "hits")
+    seen = vocabulary.select(F.col("h").alias("own"), F.col("token").alias("original"), F.col("n").alias("n_original"))
+    hit = hit.join(_sorted(seen), F.col("of") == F.col("own")).join(_sorted(vocabulary.select("h", "token")), "h")
     two_way = F.col("chain").isin(TWO_WAY)
-    sure = ~two_way | (F.col("n_original") > 2 * F.col("n"))
-    return space.write(hit.where((F.col("token") == F.col("seen")) & sure).select("token", "original", "chain", "n", "n_original"), "garbled")
+    hit = hit.where(~two_way | (F.col("n_original") > 2 * F.col("n"))).select("token", "original", "chain", "n", "n_original")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [(t, c) in forms(o) for t, o, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return space.write(hit.mapInArrow(verify, "token string, original string, chain int, n long, n_original long"), "garbled")
 
 
 def _flagged(documents: DataFrame) -> tuple[Workspace, DataFrame, DataFrame, DataFrame]:
+    """The workspace, the documents, the garbled tokens with their originals, and doc_id of the documents affected."""
     space = Workspace(documents.sparkSession, "mojibake")
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     tokens = _tokens(docs)
     garbled = _garbled_vocabulary(space, tokens)
     flagged_words = garbled.select("token").distinct().select(F.xxhash64("token").alias("h"))
     by_word = tokens.select("doc_id", F.xxhash64("token").alias("h")).join(_sorted(flagged_words), "h", "left_semi").select("doc_id")
-    return space, docs, garbled, by_word
+
+    @F.pandas_udf(T.BooleanType())
+    def looks(text: pd.Series) -> pd.Series:
+        p = character_forms()
+        return text.map(lambda t: not t.isascii() and p.search(t) is not None).astype(bool)
+
+    other = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).where(F.col("text").rlike(RESIDUE) | looks(F.col("text"))).select("doc_id")
+    return space, docs, garbled, by_word.union(other).distinct()
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
@@ -196,15 +233,7 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     one, for words that occur nowhere undamaged. Documents without text or id aren't affected; repeated rows give one;
     an empty table gives no rows; other columns aren't read.
     """
-    _, docs, _, by_word = _flagged(documents)
-
-    @F.pandas_udf(T.BooleanType())
-    def looks(text: pd.Series) -> pd.Series:
-        p = character_forms()
-        return text.map(lambda t: not t.isascii() and p.search(t) is not None).astype(bool)
-
-    other = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).where(F.col("text").rlike(RESIDUE) | looks(F.col("text"))).select("doc_id")
-    return by_word.union(other).distinct()
+    return _flagged(documents)[3]
 
 
 def ungarble(text: str, chain: int) -> str | None:
@@ -254,18 +283,24 @@ def restored_documents(documents: DataFrame) -> DataFrame:
     are followed further. The chains met in a document also restore lines whose words occur nowhere else. See
     `garbled_documents` for nulls and repeated rows; a repeated doc_id keeps each of its different texts.
     """
-    space, docs, garbled, _ = _flagged(documents)
-    found = garbled_documents(documents)
+    space, docs, garbled, found = _flagged(documents)
+    found = space.write(found, "found")
     lossy = F.col("token").contains("�")
     best = garbled.groupBy("token").agg(
         F.max(F.struct(F.col("chain") >= 0, "n_original", -F.col("chain"), "original")).alias("m"), F.countDistinct("original").alias("k")
     )
     best = best.where(~(lossy & (F.col("k") > 1)) & (F.col("m.col1")))
     best = space.write(best.select("token", F.col("m.original").alias("original"), (-F.col("m.col3")).alias("chain")), "originals")
-    for _ in range(2):  # an original may be garbled itself
+    left = -1
+    while True:  # an original may be garbled itself; each round looks twice as far, until nobody is left or none got further
         further = best.select(F.col("token").alias("original"), F.col("original").alias("next"))
-        best = best.join(_sorted(further), "original", "left").select("token", F.coalesce("next", "original").alias("original"), "chain")
-    best = space.write(best, "originals").withColumn("h", F.xxhash64("token"))
+        both = best.join(_sorted(further), "original", "left").withColumn("next", F.when(F.col("next") != F.col("token"), F.col("next")))
+        best = space.write(both.select("token", F.coalesce("next", "original").alias("original"), "chain", F.col("next").isNotNull().alias("moved")), "originals")
+        left, before = best.where("moved").count(), left
+        best = best.select("token", "original", "chain")
+        if left in (0, before):
+            break
+    best = best.withColumn("h", F.xxhash64("token"))
     tokens = _tokens(docs.join(found, "doc_id", "left_semi")).withColumn("h", F.xxhash64("token"))
     per_doc = tokens.join(_sorted(best.select("h", "original", "chain")), "h").groupBy("doc_id").agg(
         F.collect_set(F.struct("token", "original", "chain")).alias("known")
