@@ -20,6 +20,7 @@ class Run:
     domains: DataFrame
     pages: DataFrame
     workers: DataFrame
+    label: str | None = None  # where there are no requests to give it
 
 
 def kind(path: Column) -> Column:
@@ -45,8 +46,8 @@ def url_results(run: Run) -> DataFrame:
 
 
 def run_metrics(run: Run) -> DataFrame:
-    """One row per run label: time span, counts, coverage, throughput, phases, error rates and latencies. A run without
-    requests to its hosts has no row."""
+    """One row: label, time span, counts, coverage, throughput, phases, error rates and latencies. A run without requests to
+    its hosts has counts of 0 and no times."""
     reqs = known_requests(run)
     page = F.col("kind") == "page"
     sent = page & (F.col("outcome") == "sent")
@@ -54,7 +55,6 @@ def run_metrics(run: Run) -> DataFrame:
     lat, over = F.when(sent, ms), F.when(sent, ms - F.col("injected_delay_ms"))
     with_worker = reqs.join(run.workers.select("client_ip", "worker_id"), "client_ip", "left").withColumn("worker", F.coalesce("worker_id", "client_ip"))
     base = with_worker.agg(
-        F.max("run_label").alias("label"),
         F.min("recv_ts").alias("start_ts"), F.max("send_ts").alias("end_ts"), F.count(F.lit(1)).alias("requests"),
         F.count_if(page).alias("page_requests"), F.count_if(F.col("kind") == "robots").alias("robots_requests"),
         F.count_if(F.col("kind") == "sitemap").alias("sitemap_requests"), F.min(F.when(page, F.col("recv_ts"))).alias("first_page_ts"),
@@ -62,7 +62,7 @@ def run_metrics(run: Run) -> DataFrame:
         F.percentile(lat, F.lit(0.5)).alias("latency_p50"), F.percentile(lat, F.lit(0.95)).alias("latency_p95"), F.max(lat).alias("latency_max"),
         F.percentile(over, F.lit(0.5)).alias("overhead_p50"), F.percentile(over, F.lit(0.95)).alias("overhead_p95"),
         F.countDistinct(F.when(page, F.col("worker"))).alias("workers"),
-    ).where("requests > 0")
+    )
     expected = run.pages.where(F.col("reachable") == "1").select("host", "path").distinct().withColumn("expected", F.lit(True))
     status = run.pages.groupBy("host", "path").agg(F.first("status").alias("expected_status"))
     urls = url_results(run).join(expected, ["host", "path"], "full_outer").join(status, ["host", "path"], "left")
@@ -75,7 +75,8 @@ def run_metrics(run: Run) -> DataFrame:
     )
     hosts_only = run.domains.select("host").distinct().withColumn("known", F.lit(True))
     undefined = run.requests.join(hosts_only, "host", "left").agg(
-        F.count_if(F.col("known").isNull() | (F.col("response_type") == "undefined")).alias("undefined_requests")
+        F.count_if(F.col("known").isNull() | (F.col("response_type") == "undefined")).alias("undefined_requests"),
+        F.coalesce(F.max("run_label"), F.lit(run.label)).alias("label"),
     )
     # three one-row results side by side
     m = base.withColumn("__j", F.lit(1)).join(per_url.withColumn("__j", F.lit(1)), "__j").join(undefined.withColumn("__j", F.lit(1)), "__j").drop("__j")
@@ -184,6 +185,7 @@ def warnings(metrics: DataFrame) -> DataFrame:
     """(label, warning) for metrics that make a run doubtful. metrics: rows of run_metrics with violations."""
     rules = F.array_compact(
         F.array(
+            F.when(F.col("requests") == 0, F.lit("no requests in the access log")),
             F.when(F.col("coverage") < 1, F.concat(F.col("missing_urls").cast("string"), F.lit(" reachable URLs were not fetched"))),
             F.when(F.col("unexpected_failed_urls") > 0, F.concat(F.col("unexpected_failed_urls").cast("string"), F.lit(" URLs failed unexpectedly"))),
             F.when(F.col("undefined_requests") > 0, F.concat(F.col("undefined_requests").cast("string"), F.lit(" requests to unknown hosts or paths"))),

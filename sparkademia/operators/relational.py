@@ -97,3 +97,13 @@ def page_tree(pages: DataFrame, branch: int) -> DataFrame:
         firsts = [(branch**d - 1) // (branch - 1) for d in range(64) if (branch**d - 1) // (branch - 1) < 2**62]
         depth = F.size(F.filter(F.array(*[F.lit(x) for x in firsts]), lambda x: x <= F.col("page"))) - 1
     return rows.select("host", "page", parent.cast("long").alias("parent"), depth.cast("long").alias("depth"))
+
+
+def courses_per_run(runs: DataFrame, queue: DataFrame, programs: DataFrame) -> DataFrame:
+    """(run_id, courses): the different programmes whose source_url is a url that a run has fetched (status done); 0 for runs
+    without. Urls are made distinct per run and programmes per url before the join, so that a url which comes back in a
+    third of all rows meets its programmes once a run; null urls match nothing."""
+    done = queue.where("status = 'done'").select("run_id", "url").distinct()
+    own = programs.select(F.col("id").alias("__p"), F.col("source_url").alias("url")).distinct()
+    n = done.join(own, "url").groupBy("run_id").agg(F.countDistinct("__p").alias("n"))
+    return runs.select(F.col("id").alias("run_id")).join(n, "run_id", "left").select("run_id", F.coalesce("n", F.lit(0)).alias("courses"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +13,6 @@ from sparkademia.functions import urls as U
 from sparkademia.operators.relational import with_row_numbers
 
 
-@dataclass(frozen=True)
-class Bundle:
-    universities: DataFrame
-    degree_programs: DataFrame
-    tuition_patterns: DataFrame
-    program_tuition_map: DataFrame
-
-
 PATTERN_KEY = (
     "degree_level", "amount", "currency", "fee_type", "tuition_type", "amount_min", "amount_max", "normalized_monthly_amount", "normalization_note",
 )
@@ -50,26 +43,48 @@ def explode_degrees(records: DataFrame) -> DataFrame:
     ).withColumn("degree_level", X.degree_level(F.col("degree")))
 
 
-def transform(records: DataFrame) -> Bundle:
-    """records: page records with a unique `ordinal` that gives their order.
+class Transform:
+    """The four tables of some page records; each is computed when it is asked for, from rows that are numbered once.
 
-    Universities and patterns get ids in the order in which they are first met, programmes in the order of pages and
-    degrees. A university's url and country are those of its first page. Programmes without price or currency have no
-    pattern. Null and empty degree lists are alike; an empty table gives four empty tables.
+    records: page records with a unique `ordinal` that gives their order. Universities and patterns get ids in the order in
+    which they are first met, programmes in the order of pages and degrees. A university's url and country are those of its
+    first page. Programmes without price or currency have no pattern. Null and empty degree lists are alike; an empty table
+    gives four empty tables.
     """
-    rows = with_row_numbers(explode_degrees(records), ["ordinal", "pos"], "id")
-    first = rows.groupBy("university").agg(F.min(F.struct("id", "url", "country")).alias("f")).select("university", F.col("f.id").alias("at"), "f.url", "f.country")
-    unis = with_row_numbers(first, ["at"], "id").select("id", F.col("university").alias("name"), "country", "url")
-    programs = rows.join(unis.select(F.col("id").alias("university_id"), F.col("name").alias("university")), "university").select(
-        "id", "university_id", "program_name", "course_type", "is_online", F.col("url").alias("source_url"), X.wall_clock(F.col("timestamp")).alias("last_seen"),
-        quality_flag(F.col("course_type"), F.col("amount"), F.col("currency")).alias("quality_flag"),
-    )
-    priced = rows.where(F.col("amount").isNotNull() & F.col("currency").isNotNull() & (F.col("currency") != ""))
-    distinct = priced.groupBy(*PATTERN_KEY).agg(F.min("id").alias("at"))
-    patterns = with_row_numbers(distinct, ["at"], "id").drop("at")
-    same = [priced[k].eqNullSafe(patterns[k]) for k in PATTERN_KEY]
-    mapped = priced.join(patterns, same).select(priced["id"].alias("degree_program_id"), patterns["id"].alias("tuition_pattern_id"))
-    return Bundle(unis, programs, patterns.select("id", *PATTERN_KEY), mapped)
+
+    def __init__(self, records: DataFrame):
+        self.rows = with_row_numbers(explode_degrees(records), ["ordinal", "pos"], "id")
+
+    @cached_property
+    def universities(self) -> DataFrame:
+        first = self.rows.groupBy("university").agg(F.min(F.struct("id", "url", "country")).alias("f")).select("university", F.col("f.id").alias("at"), "f.url", "f.country")
+        return with_row_numbers(first, ["at"], "id").select("id", F.col("university").alias("name"), "country", "url")
+
+    @cached_property
+    def degree_programs(self) -> DataFrame:
+        ids = self.universities.select(F.col("id").alias("university_id"), F.col("name").alias("university"))
+        return self.rows.join(ids, "university").select(
+            "id", "university_id", "program_name", "course_type", "is_online", F.col("url").alias("source_url"), X.wall_clock(F.col("timestamp")).alias("last_seen"),
+            quality_flag(F.col("course_type"), F.col("amount"), F.col("currency")).alias("quality_flag"),
+        )
+
+    @cached_property
+    def _priced(self) -> DataFrame:
+        return self.rows.where(F.col("amount").isNotNull() & F.col("currency").isNotNull() & (F.col("currency") != ""))
+
+    @cached_property
+    def tuition_patterns(self) -> DataFrame:
+        distinct = self._priced.groupBy(*PATTERN_KEY).agg(F.min("id").alias("at"))
+        return with_row_numbers(distinct, ["at"], "id").select("id", *PATTERN_KEY)
+
+    @cached_property
+    def program_tuition_map(self) -> DataFrame:
+        priced, patterns = self._priced, self.tuition_patterns
+        same = [priced[k].eqNullSafe(patterns[k]) for k in PATTERN_KEY]
+        return priced.join(patterns, same).select(priced["id"].alias("degree_program_id"), patterns["id"].alias("tuition_pattern_id"))
+
+
+transform = Transform
 
 
 def merge_records(records: DataFrame) -> DataFrame:
@@ -77,22 +92,37 @@ def merge_records(records: DataFrame) -> DataFrame:
     first title that isn't empty."""
     key = [U.canonical(F.coalesce("url", F.lit(""))).alias("__u"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("__t")]
     order = F.struct("ordinal", "url", "title", "country", "timestamp")
-    g = records.groupBy(*key).agg(
-        F.min(order).alias("f"),
-        F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("degrees", F.array().cast(records.schema["degrees"].dataType)).alias("degrees")))).alias("all"),
-        F.max_by("raw_text", F.struct(F.length("raw_text"), -F.col("ordinal"))).alias("raw_text"),
-    )
-    degrees = F.flatten(F.transform("all", lambda x: x["degrees"]))
-    return g.select("f.ordinal", "f.url", "f.title", "f.country", "f.timestamp", distinct_degrees(degrees).alias("degrees"), "raw_text")
+    g = records.groupBy(*key).agg(F.min(order).alias("f"), F.max_by("raw_text", F.struct(F.length("raw_text"), -F.col("ordinal"))).alias("raw_text"))
+    degrees = records.select(*key, "ordinal", F.posexplode("degrees").alias("pos", "d"))
+    first = degrees.groupBy("__u", "__t", degree_key(F.col("d")).alias("k")).agg(F.min(F.struct("ordinal", "pos", "d")).alias("x"))
+    lists = first.groupBy("__u", "__t").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["d"]).alias("degrees"))
+    none = F.array().cast(records.schema["degrees"].dataType)
+    out = g.alias("g").join(lists.alias("l"), ["__u", "__t"], "left")
+    return out.select("f.ordinal", "f.url", "f.title", "f.country", "f.timestamp", F.coalesce("degrees", none).alias("degrees"), "raw_text")
+
+
+def repeated_degrees(records: DataFrame) -> DataFrame:
+    """One row: degrees of all pages, different ones, those that come more than once, and how many those are in all."""
+    g = records.select(F.explode("degrees").alias("d")).groupBy(degree_key(F.col("d")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    more = F.col("n") > 1
+    return g.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("unique_groups"), F.count_if(more).alias("repeated_groups"),
+        F.coalesce(F.sum(F.when(more, F.col("n"))), F.lit(0)).alias("repeated_items"),
+    )
+
+
+def classify(rows: DataFrame, universities: DataFrame, rules: Sequence[tuple[str, Column]], name: str = "excluded_reason") -> DataFrame:
+    """`rows` with `name` set to the first rule that holds, in order; where none does, the old value stays. rules: (reason,
+    condition) over the rows' columns and university_url. Rows without a university keep their value, whatever the rules."""
+    u = universities.select(F.col("id").alias("__u"), F.col("url").alias("university_url"))
+    reason = F.lit(None).cast("string")
+    for value, holds in reversed(list(rules)):
+        reason = F.when(holds, F.lit(value)).otherwise(reason)
+    joined = rows.join(u, rows["university_id"] == F.col("__u"), "left")
+    return joined.withColumn(name, F.coalesce(F.when(F.col("__u").isNotNull(), reason), F.col(name))).drop("__u", "university_url")
 
 
 def degree_key(d: Column) -> Column:
     low = lambda n: F.lower(F.trim(F.coalesce(d[n], F.lit(""))))
     subject = F.when(F.coalesce(d["course_type"], F.lit("")) == "", F.lit("general")).otherwise(F.lower(F.trim(d["course_type"])))
     return F.struct(low("context").alias("a"), low("name").alias("b"), d["price"].alias("c"), F.upper(F.trim(F.coalesce(d["currency"], F.lit("")))).alias("e"), subject.alias("f"))
-
-
-def distinct_degrees(degrees: Column) -> Column:
-    """The first of each group of degrees that agree in context, name, price, currency and subject, whatever the case."""
-    keys = F.transform(degrees, lambda d: degree_key(d))
-    return F.filter(degrees, lambda d, i: F.array_position(keys, degree_key(d)) == i + 1)

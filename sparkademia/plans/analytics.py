@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkademia.functions import html
 from sparkademia.functions import urls as U
 from sparkademia.operators import accesslog, merge, relational, search
 from sparkademia.plans.registry import Registry
@@ -106,16 +107,11 @@ def lateral_union(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("""
     SELECT r.id AS run_id, coalesce(s.n, 0) AS courses FROM crawl_runs r LEFT JOIN (
-        SELECT q.run_id, count(DISTINCT p.id) AS n FROM crawl_queue_state q JOIN degree_programs p ON split_part(split_part(p.source_url, '//', 2), '/', 1) = q.domain
-        WHERE q.status = 'done' AND q.depth = 0 GROUP BY q.run_id) s ON s.run_id = r.id""")
+        SELECT qs.run_id, count(DISTINCT dp.id) AS n FROM crawl_queue_state qs JOIN degree_programs dp ON dp.source_url = qs.url
+        WHERE qs.status = 'done' GROUP BY qs.run_id) s ON s.run_id = r.id""")
 def courses_per_run(spark: SparkSession, d: str) -> DataFrame:
-    """Programmes on the domains whose start page a run has fetched. Domains are made distinct per run before the join, so
-    a domain with most of the rows meets its programmes once a run."""
-    q = _q(spark, d).where("status = 'done' AND depth = 0").select("run_id", "domain").distinct()
-    p = table(spark, d, "degree_programs").select("id", U.logged_domain(F.col("source_url")).alias("domain"))
-    # programmes have one domain each, so their counts per domain add up
-    n = q.join(p.groupBy("domain").agg(F.countDistinct("id").alias("n")), "domain").groupBy("run_id").agg(F.sum("n").alias("n"))
-    return table(spark, d, "crawl_runs").select(F.col("id").alias("run_id")).join(n, "run_id", "left").select("run_id", F.coalesce("n", F.lit(0)).alias("courses"))
+    """Programmes that were read from pages which a run has fetched."""
+    return relational.courses_per_run(table(spark, d, "crawl_runs"), _q(spark, d), table(spark, d, "degree_programs"))
 
 
 @R.query("""
@@ -222,16 +218,6 @@ def additive_counters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@R.query("""
-    WITH g AS (SELECT count(*) AS n FROM degree_programs GROUP BY lower(trim(program_name, ' ')), university_id, lower(trim(course_type, ' ')), is_online)
-    SELECT sum(n)::BIGINT AS total, count(*) AS unique_groups, count(*) FILTER (n > 1) AS repeated_groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS repeated_items FROM g""")
-def duplicate_stats(spark: SparkSession, d: str) -> DataFrame:
-    key = [F.lower(F.trim("program_name")).alias("a"), F.col("university_id").alias("b"), F.lower(F.trim("course_type")).alias("c"), F.col("is_online").alias("e")]
-    g = table(spark, d, "degree_programs").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    more = F.col("n") > 1
-    return g.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_groups"), F.count_if(more).alias("repeated_groups"), F.coalesce(F.sum(F.when(more, F.col("n"))), F.lit(0)).alias("repeated_items"))
-
-
 @R.query("""
     WITH d AS (SELECT domain, count(*) FILTER (status = 'done') AS success, count(*) FILTER (status = 'error') AS failed, count(DISTINCT url) AS visited FROM crawl_queue_state GROUP BY domain)
     SELECT coalesce(domain, '(all)') AS domain, sum(success)::BIGINT AS success, sum(failed)::BIGINT AS failed, sum(visited)::BIGINT AS visited FROM d GROUP BY ROLLUP (domain)""")
@@ -344,14 +330,20 @@ def extraction_totals(spark: SparkSession, d: str) -> DataFrame:
     return _results(spark, d).agg(F.coalesce(F.sum(F.size("tags")), F.lit(0)).cast("long").alias("extracted"), F.count(F.lit(1)).alias("pages"), F.count_if(F.size("tags") == 0).alias("empty_pages"))
 
 
-@R.query("""
-    SELECT reason, count(*) AS lines FROM (SELECT CASE WHEN NOT regexp_matches(line, '[0-9]') THEN 'no_number' WHEN length(line) > 200 THEN 'too_long' ELSE 'kept' END AS reason
-        FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '') GROUP BY reason""")
+_WORDS = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@R.query(rf"""
+    WITH l AS (SELECT list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
+    x AS (SELECT ls[i] AS line, lower(array_to_string(list_slice(ls, greatest(i - 2, 1), i + 2), ' ')) AS near FROM (SELECT ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+    h AS (SELECT *, regexp_matches(line, '[0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]{{4,}}') AS price FROM x WHERE {_WORDS("lower(line)", html.DEGREE_WORDS)}),
+    c AS (SELECT CASE WHEN price AND NOT {_WORDS("near", html.FEE_WORDS)} AND NOT regexp_matches(near, '\b(usd|eur|gbp|jpy|aud|cad)\b|[$£€¥円]') THEN 'dropped_fee_context'
+                      WHEN NOT price AND NOT regexp_matches(line, '[0-9]') THEN 'dropped_non_numeric' WHEN price THEN 'kept_with_price' ELSE 'kept_without_price' END AS reason FROM h)
+    SELECT reason, count(*) AS lines FROM c GROUP BY reason UNION ALL SELECT 'degree_line_hits', count(*) FROM h HAVING count(*) > 0""")
 def drop_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Why lines are dropped, counted."""
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    reason = F.when(~F.col("line").rlike("[0-9]"), "no_number").when(F.length("line") > 200, "too_long").otherwise("kept")
-    return lines.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+    """What became of the lines that name a degree, counted by the page reader."""
+    counts = table(spark, d, "documents").where("text IS NOT NULL").select(html.line_counts(F.col("text")).alias("c"))
+    return counts.select(F.explode("c").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("lines"))
 
 
 # --- windows ----------------------------------------------------------------------------------------------------------
@@ -459,15 +451,6 @@ def first_urls_per_domain(spark: SparkSession, d: str) -> DataFrame:
     return relational.top_per_group(g, ["domain"], [F.col("first")], 20).select("url", "domain")
 
 
-@R.query("""
-    WITH k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(url, '^\\s+|\\s+$', '', 'g')), '(?s)#.*', ''), '(?s)\\?.*', ''), '/20\\d{2}/', '/', 'g'), '/+$', '') AS u, lower(trim(split_part(text, chr(10), 1), ' ')) AS t FROM documents WHERE text IS NOT NULL)
-    SELECT u AS page, t AS title, count(*) AS copies, min(doc_id) AS doc_id, max(length(text)) AS longest FROM k GROUP BY u, t""")
-def merge_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with one canonical address and title are one: copies, first id, longest text."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", U.canonical(F.col("url")).alias("page"), F.lower(F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("title"))
-    return docs.groupBy("page", "title").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.max(F.length("text")).alias("longest"))
-
-
 @R.query("""
     WITH e AS (SELECT run_id, parent_url, list(DISTINCT child_url) FILTER (source = 'link') AS a, list(DISTINCT child_url) FILTER (source = 'sitemap') AS b FROM crawl_edges GROUP BY ALL)
     SELECT run_id, parent_url, len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) AS children FROM e""")

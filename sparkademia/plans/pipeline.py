@@ -37,7 +37,7 @@ _DEG = r"""deg AS (
            CASE WHEN x IS NULL THEN NULL ELSE regexp_extract(x, '([0-9]{4})', 1)::BIGINT END AS amount,
            CASE WHEN contains(x, '£') THEN 'GBP' WHEN contains(x, '$') THEN 'USD' END AS currency,
            CASE WHEN contains(x, 'Engineering') THEN 'engineering' ELSE 'general' END AS course_type, coalesce(contains(x, 'online'), false) AS is_online,
-           lower(CASE WHEN x IS NULL THEN trim(title, ' ') ELSE substr(x, 1, 20) END) AS n FROM row),
+           lower(CASE WHEN x IS NULL THEN trim(title, ' ') ELSE x END) AS n FROM row),
     g AS (SELECT *, CASE WHEN contains(trim(n, ' '), 'phd') OR contains(trim(n, ' '), 'doctorate') OR contains(trim(n, ' '), '博士') THEN 'PhD'
                 WHEN contains(trim(n, ' '), 'bachelor') OR contains(trim(n, ' '), 'undergraduate') OR contains(trim(n, ' '), 'bsc') OR contains(trim(n, ' '), 'beng') OR contains(trim(n, ' '), 'ba ') OR contains(trim(n, ' '), '学士') THEN 'Bachelor'
                 WHEN contains(trim(n, ' '), 'master') OR contains(trim(n, ' '), 'postgraduate') OR contains(trim(n, ' '), 'graduate') OR contains(trim(n, ' '), 'msc') OR contains(trim(n, ' '), 'meng') OR contains(trim(n, ' '), 'ma ') OR contains(trim(n, ' '), '修士') THEN 'Master'
@@ -66,6 +66,41 @@ def transform_map(spark: SparkSession, d: str) -> DataFrame:
     return transform.transform(_records(spark, d)).program_tuition_map
 
 
+@R.query(rf"""
+    WITH {_DEG}, k AS (SELECT lower(trim(x, ' ')) AS a, amount, coalesce(currency, '') AS c, course_type FROM g WHERE x IS NOT NULL), n AS (SELECT count(*) AS n FROM k GROUP BY a, amount, c, course_type)
+    SELECT coalesce(sum(n), 0)::BIGINT AS total, count(*) AS unique_groups, count(*) FILTER (n > 1) AS repeated_groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS repeated_items FROM n""")
+def duplicate_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats among all degrees of all pages, by context, name, price, currency and subject."""
+    return transform.repeated_degrees(_records(spark, d))
+
+
+@R.query(r"""
+    WITH p AS (SELECT doc_id, url, coalesce(split_part(text, chr(10), 1), '') AS title, text, coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[0-9]{4}')), []) AS ls,
+                      regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(url, ''), '^\s+|\s+$', '', 'g')), '(?s)#.*', ''), '(?s)\?.*', ''), '/20\d{2}/', '/', 'g'), '/+$', '') AS u FROM documents),
+    k AS (SELECT *, lower(trim(title, ' ')) AS t FROM p),
+    x AS (SELECT u, t, unnest(ls) AS l FROM k),
+    n AS (SELECT u, t, count(DISTINCT (lower(trim(l, ' ')), regexp_extract(l, '([0-9]{4})', 1), CASE WHEN contains(l, '£') THEN 'GBP' WHEN contains(l, '$') THEN 'USD' ELSE '' END, contains(l, 'Engineering'))) AS n FROM x GROUP BY u, t)
+    SELECT min(doc_id) AS ordinal, arg_min(url, doc_id) AS url, max(length(text)) AS longest, coalesce(any_value(n.n), 0)::INT AS degrees FROM k LEFT JOIN n USING (u, t) GROUP BY u, t""")
+def merge_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with one canonical address and title are one: the first's address, the longest text, all their degrees."""
+    return transform.merge_records(_records(spark, d)).select("ordinal", "url", F.length("raw_text").alias("longest"), F.size("degrees").alias("degrees"))
+
+
+@R.query(f"""
+    WITH {_DEG}, p AS (SELECT DISTINCT degree_level, amount, currency FROM g WHERE amount IS NOT NULL AND currency IS NOT NULL)
+    SELECT 'degree_programs_in' AS name, (SELECT count(*) FROM g) AS n UNION ALL SELECT 'degree_programs_skipped', (SELECT count(*) FROM g WHERE program_name = '')
+    UNION ALL SELECT 'tuition_patterns_in', (SELECT count(*) FROM p) UNION ALL SELECT 'tuition_patterns_inserted', (SELECT count(*) FROM p)
+    UNION ALL SELECT 'program_tuition_map_in', (SELECT count(*) FROM g WHERE amount IS NOT NULL AND currency IS NOT NULL)
+    UNION ALL SELECT 'program_tuition_map_skipped', (SELECT count(*) FROM g WHERE amount IS NOT NULL AND currency IS NOT NULL AND program_name = '')""")
+def load_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What a chunk of transformed records brings into empty tables but for the universities' own, in counts."""
+    chunk = transform.transform(_records(spark, d))
+    stores = {"universities": table(spark, d, "universities"), "degree_programs": chunk.degree_programs.limit(0), "tuition_patterns": chunk.tuition_patterns.limit(0), "program_tuition_map": chunk.program_tuition_map.limit(0)}
+    _, counts = merge.load_chunk(chunk, stores)
+    names = ("degree_programs_in", "degree_programs_skipped", "tuition_patterns_in", "tuition_patterns_inserted", "program_tuition_map_in", "program_tuition_map_skipped")
+    return spark.createDataFrame([(n, counts[n]) for n in names], "name string, n long")
+
+
 # Each merge brings the whole table to the version of it that existed half-way through its time.
 
 
@@ -134,11 +169,13 @@ def merge_map(spark: SparkSession, d: str) -> DataFrame:
                       arg_max(started_at, id) FILTER (started_at IS NOT NULL) AS started_at FROM crawl_queue_state GROUP BY run_id, url)
     SELECT * FROM b""")
 def merge_queue_states(spark: SparkSession, d: str) -> DataFrame:
-    """Per run and url the last status, and the last method and start that aren't empty."""
-    q = table(spark, d, "crawl_queue_state")
-    real = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
-    last = lambda c: F.max_by(c, F.when(real(c), F.col("id"))).alias(c)
-    return q.groupBy("run_id", "url").agg(F.max_by("status", "id").alias("status"), last("fetch_method"), last("started_at"))
+    """Per run and url the last status, and the last method and start that aren't empty: the states of the first half of the
+    rows, merged with those of the second."""
+    q = table(spark, d, "crawl_queue_state").select("id", "run_id", "url", "status", "fetch_method", "started_at")
+    half = F.floor(q.agg(F.max("id")).scalar() / 2)
+    rule = merge.MergeRule(keys=("run_id", "url"), update=("status", "id"), fill=("fetch_method", "started_at"))
+    old, new = (merge.last_values(q.where(w), rule, "id") for w in (F.col("id") <= half, F.col("id") > half))
+    return merge.upsert(old, new, rule, "id").drop("id")
 
 
 @R.query("SELECT (SELECT count(*) FROM degree_programs) AS degree_programs, (SELECT count(*) FROM universities) AS universities, true AS equal")
@@ -181,13 +218,13 @@ def frontier_admitted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""
-    WITH f AS (SELECT DISTINCT domain, url, depth FROM crawl_queue_state WHERE depth = 0), e AS (SELECT DISTINCT parent_url, child_url FROM crawl_edges)
+    WITH e AS (SELECT DISTINCT parent_url, child_url FROM crawl_edges), f AS (SELECT DISTINCT child_domain AS domain, child_url AS url, depth FROM crawl_edges)
     SELECT f.domain, e.child_url AS url, min(f.depth + 1) AS depth FROM f JOIN e ON e.parent_url = f.url GROUP BY ALL""")
 def frontier_expanded(spark: SparkSession, d: str) -> DataFrame:
-    """The pages that start pages link to, one level deeper."""
-    f = table(spark, d, "crawl_queue_state").where("depth = 0").select("domain", "url", "depth").distinct()
-    links = table(spark, d, "crawl_edges").select(F.col("parent_url").alias("url"), F.col("child_url").alias("child")).distinct()
-    return frontier.expand(f, links)
+    """The pages that linked pages link to, one level deeper."""
+    e = table(spark, d, "crawl_edges")
+    f = e.select(F.col("child_domain").alias("domain"), F.col("child_url").alias("url"), "depth").distinct()
+    return frontier.expand(f, e.select(F.col("parent_url").alias("url"), F.col("child_url").alias("child")).distinct())
 
 
 @R.query("""
@@ -221,13 +258,18 @@ def scenario_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(r"""
-    WITH q AS (SELECT domain, url, min(id) AS id FROM crawl_queue_state WHERE depth <= 1 GROUP BY ALL),
-         t AS (SELECT id, 'https://' || domain AS root FROM q WHERE NOT (domain = 'x.com' OR domain LIKE '%.x.com')) SELECT root, arg_max(1 + id % 2, id) AS depth FROM t GROUP BY root""")
+    WITH s AS (SELECT min(id) AS id, 'https://' || domain AS root, domain, bool_or(status = 'done') AS listed, 1 + min(id) % 3 AS depth,
+                      count(*) FILTER (status = 'done') AS hits, count(*) FILTER (status = 'error') AS errors FROM crawl_queue_state WHERE domain IS NOT NULL GROUP BY run_id, domain)
+    SELECT root, arg_max(depth, id) AS depth FROM s WHERE listed AND hits >= 8 AND errors <= 3 AND depth <= 2
+    AND NOT (domain = 'x.com' OR domain LIKE '%.x.com') GROUP BY root""")
 def seed_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Start urls of results that pass thresholds; the newest result wins a root."""
-    q = table(spark, d, "crawl_queue_state").where("depth <= 1").groupBy("domain", "url").agg(F.min("id").alias("id"))
+    """Start urls of results that pass thresholds; the newest result wins a root. A result is a domain of a run."""
+    status = lambda s: F.col("status") == s
+    g = table(spark, d, "crawl_queue_state").where("domain IS NOT NULL").groupBy("run_id", "domain").agg(
+        F.min("id").alias("id"), F.bool_or(status("done")).alias("listed"), F.count_if(status("done")).alias("hits"), F.count_if(status("error")).alias("errors")
+    )
     root = F.concat(F.lit("https://"), F.col("domain"))
-    r = q.select("id", F.concat(root, F.lit("/list")).alias("source_url"), F.array(root).alias("roots"), F.array().cast("array<string>").alias("details"), F.lit(True).alias("listed"), (1 + F.col("id") % 2).cast("int").alias("depth"), F.lit(9).alias("hits"), F.lit(0).alias("errors"))
+    r = g.select("id", F.concat(root, F.lit("/list")).alias("source_url"), F.array(root).alias("roots"), F.array().cast("array<string>").alias("details"), "listed", (1 + F.col("id") % 3).cast("int").alias("depth"), "hits", "errors")
     return frontier.seed_targets(r, 8, 3, 2)
 
 

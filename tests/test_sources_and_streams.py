@@ -231,6 +231,73 @@ def test_slots_of_a_domain_in_several_chunks(spark, tmp_path):
     assert got == {(r.domain, r.url): r.start for r in state.reserve_slots_batch(req).collect()}
 
 
+def test_a_replayed_batch_counts_once(spark, tmp_path, monkeypatch):
+    row = dict(run_id=1, url="u", domain="d", at=datetime.datetime(2026, 1, 1))
+    from sparkademia import schemas
+
+    names = schemas.QUEUE_EVENT.names
+    make = lambda *rows: spark.createDataFrame([tuple((row | r).get(n) for n in names) for r in rows], schemas.QUEUE_EVENT)
+    tag = dict(kind="tag", tag_name="h1", course_type="law", keyword="law", count=2, score=10)
+    first = make(dict(kind="state", status="pending"), tag, dict(kind="attempt", ok=False), dict(kind="edge", parent_url="p", source="link"), dict(kind="class", tag_name="p", class_name="c", count=1))
+    t = queue_log.LogTables(str(tmp_path / "log"))
+    queue_log.apply_batch(first, t, 0)
+    real, calls = queue_log._merge, []
+
+    def breaks(spark, t, name, *rest):
+        calls.append(name)
+        if name == "class_counts":
+            raise RuntimeError("executor lost")
+        real(spark, t, name, *rest)
+
+    monkeypatch.setattr(queue_log, "_merge", breaks)
+    with pytest.raises(RuntimeError):
+        queue_log.apply_batch(first, t, 1)
+    monkeypatch.setattr(queue_log, "_merge", real)
+    for _ in range(2):
+        queue_log.apply_batch(first, t, 1)
+    assert [r["count"] for r in t.read(spark, "tag_scores").collect()] == [4] and [r["count"] for r in t.read(spark, "class_counts").collect()] == [2]
+    assert t.read(spark, "attempts").count() == 2 and t.read(spark, "edges").count() == 1 and "class_counts" in calls
+
+
+def test_a_broken_write_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge.swap(spark.range(3), path)
+    boom = F.udf(lambda x: 1 // 0, "int")
+    with pytest.raises(Exception):
+        merge.swap(spark.range(5).select(boom("id")), path)
+    assert merge.current(spark, path).count() == 3
+    for n in (4, 5):
+        merge.swap(spark.range(n), path)
+    assert merge.current(spark, path).count() == 5 and len(merge.versions(spark, path)) == 2
+
+
+def test_tasks_are_retried_and_then_dead(spark, tmp_path):
+    root, names = str(tmp_path / "q"), "url string"
+    handle = lambda df: df.withColumn("ok", (F.col("url") == "good") | ((F.col("url") == "late") & (F.col("receives") >= 3)))
+    sink = queue_log.retried(spark.createDataFrame([], names), handle, root, most=3)
+    for n, urls in enumerate([["good", "late", "bad"], [], [], []]):
+        for _ in range(2):  # each batch comes twice
+            sink(spark.createDataFrame([(u,) for u in urls], names), n)
+    done = {(r.url, r.receives) for r in spark.read.parquet(f"{root}/done").collect()}
+    assert done == {("good", 1), ("late", 3)} and [r.url for r in spark.read.parquet(f"{root}/dead").collect()] == ["bad"]
+    assert merge.current(spark, f"{root}/waiting").count() == 0
+
+
+def test_runs_start_and_finish(spark):
+    runs = spark.createDataFrame([(1, None, None, "running", 3, "old")], "id long, started_at timestamp, finished_at timestamp, status string, root_seed_count int, notes string")
+    new = spark.createDataFrame([(datetime.datetime(2026, 1, 1), 5, "x")], "started_at timestamp, root_seed_count int, notes string")
+    end = spark.createDataFrame([(1, "done", datetime.datetime(2026, 1, 2), ""), (9, "done", None, "")], "id long, status string, finished_at timestamp, notes string")
+    out = {r.id: r for r in merge.run_finished(merge.run_started(runs, new), end).collect()}
+    assert (out[1].status, out[1].notes, out[2].status, out[2].root_seed_count) == ("done", "old", "running", 5) and set(out) == {1, 2}
+
+
+def test_courses_per_run(spark):
+    runs = spark.createDataFrame([(1,), (2,)], "id long")
+    q = spark.createDataFrame([(1, "a", "done"), (1, "a", "done"), (1, "b", "error"), (1, None, "done"), (2, "c", "done")], "run_id long, url string, status string")
+    p = spark.createDataFrame([(10, "a"), (11, "a"), (12, "b"), (13, None)], "id int, source_url string")
+    assert {(r.run_id, r.courses) for r in relational.courses_per_run(runs, q, p).collect()} == {(1, 2), (2, 0)}
+
+
 def test_page_signals_of_a_long_page(spark):
     page = "x" * 60_000 + "<form>search</form> programmes courses admissions degree"
     df = spark.createDataFrame([("https://a.edu/", "", "", page)], "u string, t string, s string, h string")
