@@ -11,19 +11,19 @@ from sparkademia.functions.urls import any_of, netloc, path
 
 # Subjects and their keywords.
 COURSE_KEYWORDS: dict[str, list[str]] = {
-    "computer_science": "computer science|informatics|computing|software|programming|ai|artificial intelligence|machine learning|data science|cybersecurity|information systems|情報|データ|計算機|ソフトウェア|人工知能|機械学習|情報科学".split("|"),
-    "engineering": "engineering|mechanical|electrical|electronic|civil|chemical engineering|aerospace|robotics|materials|industrial engineering|工学|機械|電気|電子|土木|化学工学|材料|ロボティクス".split("|"),
-    "business": "business|management|finance|mba|accounting|marketing|economics and management|entrepreneurship|international business|経営|会計|ビジネス|ファイナンス|マーケティング".split("|"),
-    "health": "medicine|medical|nursing|public health|pharmacy|biomedical|clinical|dentistry|看護|医学|医療|公衆衛生|薬学|歯学".split("|"),
-    "education": "education|teaching|pedagogy|curriculum|teacher training|educational|教育|教職|教育学".split("|"),
-    "law": "law|legal|jurisprudence|llb|llm|法学|法律|司法".split("|"),
-    "social_science": "psychology|sociology|politics|political science|economics|international relations|anthropology|public policy|社会|心理|経済|政治|国際関係|社会学".split("|"),
-    "humanities": "history|philosophy|literature|language|linguistics|classics|religion|人文|文学|哲学|歴史|言語|言語学".split("|"),
-    "science": "biology|chemistry|physics|mathematics|science|environmental science|geology|statistics|生物|化学|物理|数学|理学|統計|地学|環境科学".split("|"),
-    "arts_design": "art|design|music|fine art|architecture|media|film|theatre|芸術|デザイン|音楽|建築|メディア|映像|演劇".split("|"),
+    "computer_science": ["computer science", "informatics", "computing", "software", "programming", "ai", "artificial intelligence", "machine learning", "data science", "cybersecurity", "information systems", "情報", "データ", "計算機", "ソフトウェア", "人工知能", "機械学習", "情報科学"],
+    "engineering": ["engineering", "mechanical", "electrical", "electronic", "civil", "chemical engineering", "aerospace", "robotics", "materials", "industrial engineering", "工学", "機械", "電気", "電子", "土木", "化学工学", "材料", "ロボティクス"],
+    "business": ["business", "management", "finance", "mba", "accounting", "marketing", "economics and management", "entrepreneurship", "international business", "経営", "会計", "ビジネス", "ファイナンス", "マーケティング"],
+    "health": ["medicine", "medical", "nursing", "public health", "pharmacy", "biomedical", "clinical", "dentistry", "看護", "医学", "医療", "公衆衛生", "薬学", "歯学"],
+    "education": ["education", "teaching", "pedagogy", "curriculum", "teacher training", "educational", "教育", "教職", "教育学"],
+    "law": ["law", "legal", "jurisprudence", "llb", "llm", "法学", "法律", "司法"],
+    "social_science": ["psychology", "sociology", "politics", "political science", "economics", "international relations", "anthropology", "public policy", "社会", "心理", "経済", "政治", "国際関係", "社会学"],
+    "humanities": ["history", "philosophy", "literature", "language", "linguistics", "classics", "religion", "人文", "文学", "哲学", "歴史", "言語", "言語学"],
+    "science": ["biology", "chemistry", "physics", "mathematics", "science", "environmental science", "geology", "statistics", "生物", "化学", "物理", "数学", "理学", "統計", "地学", "環境科学"],
+    "arts_design": ["art", "design", "music", "fine art", "architecture", "media", "film", "theatre", "芸術", "デザイン", "音楽", "建築", "メディア", "映像", "演劇"],
 }
 # Which subject wins when all scores are equal.
-COURSE_PRIORITY = "computer_science engineering health business law education social_science science humanities arts_design".split()
+COURSE_PRIORITY = ["computer_science", "engineering", "health", "business", "law", "education", "social_science", "science", "humanities", "arts_design"]
 # Levels and what marks them, first match wins.
 DEGREE_LEVELS = [
     ("PhD", ["phd", "doctorate", "博士"]),
@@ -41,12 +41,12 @@ FEE_RULES = [
 ]
 FEE_RANGE = r"[0-9].{0,10}(-|–|to).{0,10}[0-9]"
 # Words for a missing value.
-NULL_WORDS = "none null nan n/a na -".split()
+NULL_WORDS = ["none", "null", "nan", "n/a", "na", "-"]
 # Course and contrary hints, academic host endings.
-COURSE_HINTS = "course courses program programmes degree degrees undergraduate postgraduate study academics".split()
-CONTRARY_HINTS = "news event blog ranking rankings wikipedia linkedin facebook x.com twitter".split()
+COURSE_HINTS = ["course", "courses", "program", "programmes", "degree", "degrees", "undergraduate", "postgraduate", "study", "academics"]
+CONTRARY_HINTS = ["news", "event", "blog", "ranking", "rankings", "wikipedia", "linkedin", "facebook", "x.com", "twitter"]
 ACADEMIC_ENDINGS = (".edu", ".ac.uk", ".ac.jp", ".edu.au")
-GENERIC_NAME_WORDS = "university college institute school".split()
+GENERIC_NAME_WORDS = ["university", "college", "institute", "school"]
 BOT_MARKERS = ["captcha", "cloudflare", "verify you are human", "are you human", "access denied", "bot detection"]
 
 

@@ -12,16 +12,16 @@ _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 
 # File name endings of pages that aren't HTML.
 NON_HTML_EXTENSIONS = (
-    ".pdf .doc .docx .xls .xlsx .ppt .pptx .zip .rar .tar .gz .jpg .jpeg .png .gif .svg .webp .mp4 .mp3 .avi .mov".split()
+    [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".tar", ".gz", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".mp4", ".mp3", ".avi", ".mov"]
 )
 # Parts of an address that mark pages of no interest.
-BAD_PARTS = "news event blog login contact about staff library".split()
+BAD_PARTS = ["news", "event", "blog", "login", "contact", "about", "staff", "library"]
 # Host endings and countries, first match wins; the short and the long list.
 COUNTRIES_SHORT = [("UK", (".uk",)), ("US", (".edu", ".gov")), ("JP", (".jp",))]
 COUNTRIES_LONG = [*COUNTRIES_SHORT, ("AU", (".au",)), ("NZ", (".nz",)), ("IE", (".ie",)), ("CA", (".ca",))]
 # Domains that are no seeds.
 BLOCKED_DOMAINS = (
-    "wikipedia.org facebook.com x.com twitter.com instagram.com linkedin.com youtube.com zoominfo.com tiktok.com kotobank.jp".split()
+    ["wikipedia.org", "facebook.com", "x.com", "twitter.com", "instagram.com", "linkedin.com", "youtube.com", "zoominfo.com", "tiktok.com", "kotobank.jp"]
 )
 # Host names of universities with a known name, first match wins; host labels that name no university.
 KNOWN_HOSTS = {
@@ -32,7 +32,7 @@ KNOWN_HOSTS = {
     "london.ac.uk": "University of London",
     "ignou.ac.in": "Indira Gandhi National Open University",
 }
-GENERIC_LABELS = "www study apply admissions courses portal".split()
+GENERIC_LABELS = ["www", "study", "apply", "admissions", "courses", "portal"]
 # Marks of pages about courses' surroundings rather than courses.
 EXCLUDED_MARKERS = [
     "scholarship", "bursar", "funding", "fellowship", "graduation", "alumni", "student guide", "support-wellbeing",
@@ -46,7 +46,7 @@ LISTING_PATHS = [
     "/study/courses", "/study/courses/undergraduate", "/study/courses/postgraduate", "/study/courses/research-degree",
 ]
 # Words that mark sitemap addresses worth a visit first.
-SITEMAP_WORDS = "program programme course degree study tuition fee undergraduate postgraduate master bachelor phd".split()
+SITEMAP_WORDS = ["program", "programme", "course", "degree", "study", "tuition", "fee", "undergraduate", "postgraduate", "master", "bachelor", "phd"]
 
 
 def any_of(conditions: Sequence[Column]) -> Column:

@@ -87,3 +87,55 @@ def official_domains(hits: DataFrame, n: int = 3) -> DataFrame:
     has_strict = best.agg(F.count("strict") > 0).scalar()
     chosen = best.where(~has_strict | F.col("strict").isNotNull()).select("domain", F.coalesce("strict", "loose").alias("score"))
     return chosen.orderBy(F.desc("score"), "domain").limit(n)
+
+
+def enabled(seeds: DataFrame) -> DataFrame:
+    """The seeds that are switched on (enabled = 1), by id."""
+    return seeds.where("enabled = 1").orderBy("id")
+
+
+def cached(results: DataFrame, known: DataFrame) -> DataFrame:
+    """The newest result (highest id) of each source that holds any seed, if all its root urls are known: source_url, id,
+    roots. Such a source needn't be searched again. results: id, source_url, roots, details (arrays); known: root."""
+    from sparkademia.functions import urls as U
+
+    none = F.array().cast("array<string>")
+    filled = results.where((F.size(F.coalesce("roots", none)) > 0) | (F.size(F.coalesce("details", none)) > 0))
+    newest = filled.groupBy("source_url").agg(F.max_by(F.struct("id", "roots", "details"), "id").alias("r"))
+    rows = newest.select("source_url", "r.id", U.root_urls(F.coalesce("r.roots", none), F.coalesce("r.details", none)).alias("roots")).where(F.size("roots") > 0)
+    each = rows.select("source_url", F.explode("roots").alias("root"))
+    unknown = each.join(known.select("root"), "root", "left_anti").select("source_url").distinct()
+    return rows.join(unknown, "source_url", "left_anti")
+
+
+def assemble(hits: DataFrame, known: DataFrame, official: DataFrame | None = None) -> DataFrame:
+    """One row per request: roots (new root urls in the order of the hits), details (listing pages whose root is new),
+    listed (whether any hit looks like a list of courses), depth (1 if so, 2 with any hit, else 3), known (root urls that
+    are there already, sorted).
+
+    hits: request, place (order), url, course_like; known: root; official: request, domain, where hits must lie on an
+    official domain, for the requests that have any. Hits on blocked domains don't count. A request's hits are one search's."""
+    from sparkademia.functions import urls as U
+
+    rows = hits.select("request", "place", "url", F.coalesce("course_like", F.lit(False)).alias("course_like"), U.netloc(F.col("url")).alias("domain"), U.root_url(F.col("url")).alias("root"))
+    allowed = ~U.is_blocked(F.col("domain"))
+    if official is not None:
+        some = official.select(F.col("request").alias("__r")).distinct()
+        right = official.select(F.col("request").alias("__q"), F.col("domain").alias("__d"), F.lit(True).alias("__ok")).distinct()
+        rows = rows.join(some, F.col("request").eqNullSafe(F.col("__r")), "left").join(right, F.col("request").eqNullSafe(F.col("__q")) & (F.col("domain") == F.col("__d")), "left")
+        allowed = allowed & (F.col("__r").isNull() | F.col("__ok").isNotNull())
+    rows = rows.withColumn("allowed", allowed).join(known.select("root", F.lit(True).alias("is_known")).distinct(), "root", "left")
+    has_root, old = F.col("allowed") & (F.col("root") != ""), F.col("is_known").isNotNull()
+    first = rows.where(has_root).groupBy("request", "root", "is_known").agg(F.min("place").alias("place"))
+    roots = first.groupBy(F.col("request").alias("__of")).agg(
+        F.transform(F.sort_array(F.collect_list(F.when(~old, F.struct("place", "root")))), lambda x: x["root"]).alias("roots"),
+        F.sort_array(F.collect_list(F.when(old, F.col("root")))).alias("known"),
+    )
+    per = rows.groupBy("request").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("allowed") & F.col("course_like") & ~old, F.struct("place", "url")))), lambda x: x["url"]).alias("details"),
+        F.coalesce(F.bool_or(F.col("allowed") & F.col("course_like")), F.lit(False)).alias("listed"), F.bool_or("allowed").alias("any"),
+    )
+    none = F.array().cast("array<string>")
+    out = per.join(roots, F.col("request").eqNullSafe(F.col("__of")), "left")
+    depth = F.when(F.col("listed"), 1).when(F.col("any"), 2).otherwise(3)
+    return out.select("request", F.coalesce("roots", none).alias("roots"), "details", "listed", depth.alias("depth"), F.coalesce("known", none).alias("known"))

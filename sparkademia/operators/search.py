@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -136,3 +137,11 @@ def country_facet(t: Tables) -> DataFrame:
     """Countries of universities with a visible programme."""
     some = t.programs.where(visible()).select(F.col("university_id").alias("id"))
     return facet(t.universities.join(some, "id", "left_semi"), "country")
+
+
+def given(df: DataFrame, conditions: Mapping[str, object]) -> DataFrame:
+    """The rows that agree with each value that is given; a value of None sets no condition."""
+    for name, value in conditions.items():
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+    return df

@@ -98,11 +98,9 @@ def lateral_run_summary_fixed(spark: SparkSession, d: str) -> DataFrame:
     SELECT DISTINCT run_id, parent_url, u.url FROM e, LATERAL (SELECT unnest(coalesce(a, [])) AS url UNION SELECT unnest(coalesce(b, [])) UNION SELECT parent_url) u""")
 def lateral_union(spark: SparkSession, d: str) -> DataFrame:
     """The distinct urls of two arrays and a single one, per row."""
-    e = table(spark, d, "crawl_edges").groupBy("run_id", "parent_url").agg(
-        F.collect_set(F.when(F.col("source") == "link", F.col("child_url"))).alias("a"),
-        F.collect_set(F.when(F.col("source") != "link", F.col("child_url"))).alias("b"),
-    )
-    return e.select("run_id", "parent_url", F.explode(F.array_distinct(F.concat("a", "b", F.array("parent_url")))).alias("url"))
+    e = table(spark, d, "crawl_edges")
+    urls = F.explode(F.array_distinct(F.array_compact(F.array(F.when(F.col("source").isNotNull(), F.col("child_url")), "parent_url"))))
+    return e.select("run_id", "parent_url", urls.alias("url")).distinct()
 
 
 @R.query("""
@@ -456,10 +454,8 @@ def first_urls_per_domain(spark: SparkSession, d: str) -> DataFrame:
     SELECT run_id, parent_url, len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) AS children FROM e""")
 def merge_link_sets(spark: SparkSession, d: str) -> DataFrame:
     """Two sets of children united."""
-    e = table(spark, d, "crawl_edges").groupBy("run_id", "parent_url").agg(
-        F.collect_set(F.when(F.col("source") == "link", F.col("child_url"))).alias("a"), F.collect_set(F.when(F.col("source") == "sitemap", F.col("child_url"))).alias("b")
-    )
-    return e.select("run_id", "parent_url", F.size(F.array_union("a", "b")).alias("children"))
+    both = F.when(F.col("source").isin("link", "sitemap"), F.col("child_url"))
+    return table(spark, d, "crawl_edges").groupBy("run_id", "parent_url").agg(F.countDistinct(both).alias("children"))
 
 
 @R.query("""

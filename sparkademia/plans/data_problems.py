@@ -111,6 +111,17 @@ def oracle_sql() -> dict[str, str]:
                    sum(retries * greatest(coalesce(m, 0), 1))::BIGINT AS retries_joined, max(latest) AS latest,
                    min(earliest) AS earliest, max(deepest) AS deepest_link
             FROM q LEFT JOIN e ON q.domain = e.child_domain AND q.run_id = e.run_id GROUP BY q.domain""",
+        "p5_found": r"""
+            WITH t AS (SELECT worker_id, trim(timestamp, ' ') AS t FROM resource_samples WHERE worker_id IS NOT NULL AND process_cpu_percent >= 0 AND process_rss_mb >= 0
+                          AND NOT isnan(process_cpu_percent) AND NOT isnan(process_rss_mb)),
+            c AS (SELECT worker_id, t, regexp_extract(t, '([+-][0-9]{2}):?([0-9]{2})?$', 0) AS zone,
+                         regexp_replace(regexp_replace(t, '^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})[T ]+', '\1-\2-\3 '), ' *(Z|UTC|[+-][0-9]{2}:?[0-9]{2})$', '') AS clock FROM t),
+            e AS (SELECT worker_id, CASE WHEN regexp_matches(t, '^[0-9]{9,11}$') THEN t::DOUBLE WHEN regexp_matches(t, '^[0-9]{12,14}$') THEN t::DOUBLE / 1000
+                         WHEN regexp_matches(t, '^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}[T ]+[0-9]{1,2}:[0-9]{2}') THEN epoch(try_cast(clock AS TIMESTAMP))
+                         - CASE WHEN regexp_matches(t, ':[0-9]{2}.*[+-][0-9]{2}:?[0-9]{2}$') THEN (CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END) * (zone[2:3]::INT * 3600 + right(zone, 2)::INT * 60) ELSE 0 END END AS s FROM c),
+            o AS (SELECT DISTINCT worker_id, (floor(s / 30) * 30)::BIGINT AS slot FROM e WHERE s IS NOT NULL),
+            a AS (SELECT worker_id, unnest(range(min(slot), max(slot) + 1, 30)) AS slot_start FROM o GROUP BY worker_id)
+            SELECT worker_id, slot_start FROM a ANTI JOIN (SELECT worker_id, slot AS slot_start FROM o) x USING (worker_id, slot_start)""",
         "p7_found": """
             WITH RECURSIVE e AS (SELECT DISTINCT run_id, parent_url p, child_url c FROM crawl_edges),
             r AS (SELECT run_id, p, c FROM e UNION SELECT r.run_id, r.p, e.c FROM r JOIN e ON e.run_id = r.run_id AND e.p = r.c)

@@ -3,9 +3,9 @@
 import pytest
 from oracle import connect, same
 
-from sparkademia.plans import analytics, data_problems, functions, pipeline, search, streams
+from sparkademia.plans import analytics, data_problems, functions, operations, pipeline, search, streams
 
-MODULES = [data_problems, search, functions, analytics, pipeline, streams]
+MODULES = [data_problems, search, functions, analytics, operations, pipeline, streams]
 CASES = [(m, n) for m in MODULES for n in m.queries()]
 
 

@@ -90,8 +90,6 @@ def test_page():
     page = html.Page(PAGE)
     assert html.pager_actions(page, "https://a.example/list") == [dict(method="get", value="https://a.example/next?p=2#x", argument=""), dict(method="postback", value="grid", argument="Page$2")]
     assert html.page_kind("text/html", page) == "text" and html.page_kind("application/pdf; x", None) == "pdf"
-    assert html.clean_names(["I study at Lund University.", "lund university", ""], []) == ["Lund University"]
-    assert html.clean_name("私は東京大学です") == "東京大学"
     assert html.course_links("https://a.example", "<a href='/courses/1'><a href='/x'><a href=\"mailto:a@b\">") == ["https://a.example/courses/1"]
 
 
@@ -298,6 +296,17 @@ def test_courses_per_run(spark):
     assert {(r.run_id, r.courses) for r in relational.courses_per_run(runs, q, p).collect()} == {(1, 2), (2, 0)}
 
 
+def test_names_of_universities(spark):
+    df = spark.createDataFrame([(["I study at Lund University.", "lund university", ""], ["x"]), ([], ["We like Foo College", "nothing"])], "n array<string>, l array<string>")
+    assert [r.x for r in df.select(html.clean_names(F.col("n"), F.col("l")).alias("x")).collect()] == [["Lund University"], ["We like Foo College"]]
+    one = lambda t: spark.range(1).select(html.university_of(F.lit(t)).alias("x")).first().x
+    assert one("私は東京大学です") == "東京大学" and one(" I am  I study at  Lund\u3000University ") == "Lund University" and one("(plain)") == "plain"
+    lines = ["東京大学｜入試案内", "University of Testing - courses", "Admissions | Home", "The Lund University: fees", "大阪大学院 東京大学"]
+    got = spark.range(1).select(html.listed_names(F.array(*map(F.lit, lines))).alias("x")).first().x
+    assert got[0] == "東京大学" and "University of Testing" in got and "The Lund University" in got and "大阪大学院" in got and len(got) == len(set(got))
+    assert spark.range(1).select(html.listed_names(F.array().cast("array<string>")).alias("x")).first().x == []
+
+
 def test_page_signals_of_a_long_page(spark):
     page = "x" * 60_000 + "<form>search</form> programmes courses admissions degree"
     df = spark.createDataFrame([("https://a.edu/", "", "", page)], "u string, t string, s string, h string")
