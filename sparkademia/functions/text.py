@@ -86,7 +86,8 @@ def keyword_hits(text: Column, word: str) -> Column:
     """How often a keyword occurs, without overlaps: as whole words if it has Latin letters, else anywhere."""
     w = _quoted(word.lower())
     pattern = rf"(?U)\b{w}\b" if any("a" <= ch <= "z" for ch in word.lower()) else w
-    return F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)), F.lit(0))
+    low = F.lower(text)
+    return F.when(low.contains(word.lower()), F.regexp_count(low, F.lit(pattern))).otherwise(0)  # most texts lack most words
 
 
 def course_type(
@@ -106,8 +107,9 @@ def course_type(
         h, p, s = count(heading).cast("long"), count(primary).cast("long"), count(secondary).cast("long")
         rank = COURSE_PRIORITY.index(name) if name in COURSE_PRIORITY else len(COURSE_PRIORITY)
         rows.append(F.struct((tag + 5 * h + 3 * p + s).alias("score"), tag.alias("tag"), h.alias("h"), p.alias("p"), s.alias("s"), F.lit(-rank).alias("r"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*rows))
-    return F.when(best.getField("score") > 0, best.getField("name")).otherwise(F.lit("general"))
+    zero = F.lit(0).cast("long")
+    none = F.struct(zero.alias("score"), zero.alias("tag"), zero.alias("h"), zero.alias("p"), zero.alias("s"), F.lit(1).alias("r"), F.lit("general").alias("name"))
+    return F.array_max(F.array(*rows, none)).getField("name")
 
 
 def fee_class(line: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,11 +101,26 @@ def filtered(t: Tables, p: SearchParams) -> DataFrame:
     return rows
 
 
+def _first(t: Tables, p: SearchParams, order: Column) -> Tables:
+    """The tables with the first programmes only, where nothing of a pattern decides: each programme gives a row or more, so
+    a page's rows come from as many programmes as it ends at."""
+    of_patterns = (p.keyword, p.degree, p.tuition_type, p.currency, p.fixed_only, p.non_fixed_only, p.price_min is not None, p.price_max is not None)
+    if p.sort_by != "last_seen" or any(of_patterns):
+        return t
+    u = t.universities.where(F.col("country") == p.country) if p.country else t.universities
+    some = t.programs.where(visible()).join(u.select(F.col("id").alias("university_id")), "university_id", "left_semi")
+    if p.category:
+        some = some.where(F.col("course_type") == p.category)
+    if p.is_online is not None:
+        some = some.where(F.col("is_online") == p.is_online)
+    return replace(t, programs=some.orderBy(order, "id").limit(p.offset + p.limit))
+
+
 def search(t: Tables, p: SearchParams = SearchParams()) -> DataFrame:
     """One page of results. Nulls sort last in either direction; ties go by programme and pattern."""
     key = F.col(p.sort_by)
     order = key.asc_nulls_last() if p.sort_order == "asc" else key.desc_nulls_last()
-    return filtered(t, p).orderBy(order, "id", F.col("pattern_id").asc_nulls_last()).offset(p.offset).limit(p.limit).select(*COLUMNS)
+    return filtered(_first(t, p, order), p).orderBy(order, "id", F.col("pattern_id").asc_nulls_last()).offset(p.offset).limit(p.limit).select(*COLUMNS)
 
 
 def count(t: Tables, p: SearchParams = SearchParams()) -> DataFrame:
