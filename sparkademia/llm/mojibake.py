@@ -8,6 +8,7 @@ their end.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,7 @@ _SINGLE = {"cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850",
 # first step of the most common readings any of them may follow; after the others, the two most common.
 _AGAIN = [k for k, (a, b) in enumerate(WRONG_READINGS) if a == "utf-8" and b in _SINGLE]
 TWICE = [(a, b) for a in range(len(WRONG_READINGS)) for b in (_AGAIN if a in _AGAIN else _AGAIN[:2])]
+_TWICE_AT = {ab: len(WRONG_READINGS) + n for n, ab in enumerate(TWICE)}
 
 _TOKEN = re.compile("[A-Za-z\u0080-\U0010ffff]+")
 #: Characters that only a wrong decoding leaves in a text: the replacement character, C1 controls, the private use area
@@ -82,14 +84,19 @@ def garble(text: str, true: str, read: str) -> str | None:
     data = _write(text, true)
     if data is None:
         return None
-    if read in _SINGLE:
-        table = _table(read)
-        out = "".join([table[b] for b in data])
-    else:
-        out = data.decode(read, "replace")
+    out = _read(data, read)
     return out if out != text else None
 
 
+def _read(data: bytes, encoding: str) -> str:
+    return codecs.charmap_decode(data, "strict", _charmap(encoding))[0] if encoding in _SINGLE else data.decode(encoding, "replace")
+
+
+@lru_cache(64)
+def _charmap(encoding: str) -> str:
+    return "".join(_table(encoding))
+
+
 def _telling(true: str, read: str, form: str, whole: bool) -> bool:
     """Whether a garbled form may stand for its word. Reading as UTF-8 garbles only where it fails; what it reads well is
     the way back of another chain. Between one-byte encodings one letter becomes another, and double-byte characters
@@ -117,17 +124,22 @@ def forms(word: str) -> Iterator[tuple[str, int]]:
         for p in pieces:
             if not p.isascii() and p != word and _telling(true, read, p, whole):
                 yield p, k if whole else -1 - k
-    tried = set()
-    for n, (a, b) in enumerate(TWICE):
-        if a not in once or "\ufffd" in once[a] or (once[a], b) in tried:  # many code pages agree on a word
-            continue
-        tried.add((once[a], b))
-        if (g := garble(once[a], *WRONG_READINGS[b])) is not None:
-            pieces = _TOKEN.findall(g)
+    again: dict[str, int] = {}  # many code pages agree on a word; its first chain stands for them
+    for a, g in once.items():
+        if "\ufffd" not in g:
+            again.setdefault(g, a)
+    made = {word, *once.values()}
+    for once_more, a in again.items():
+        data = once_more.encode("utf-8", "surrogatepass")
+        for b in _AGAIN if a in _AGAIN else _AGAIN[:2]:
+            g = codecs.charmap_decode(data, "strict", _charmap(WRONG_READINGS[b][1]))[0]
+            if g in made:
+                continue
+            made.add(g)
             least = 2 if a < 2 and b < 2 else 4  # rarer chains leave short pieces that tell less
-            for p in pieces:
-                if not p.isascii() and len(p) >= least and p != word:
-                    yield p, len(WRONG_READINGS) + n
+            for p in _TOKEN.findall(g):
+                if len(p) >= least and not p.isascii() and p != word:
+                    yield p, _TWICE_AT[a, b]
 
 
 #: Chains whose reverse is also a chain: which of two words is the original, their frequencies say.
