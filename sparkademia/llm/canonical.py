@@ -115,11 +115,9 @@ def _flat(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def _ascii_name(c: Column, awards: Sequence[str]) -> Column:
-    """`name_key` of ASCII text."""
+def _ascii_name(flat: Column, words: Column, awards: Sequence[str]) -> Column:
+    """`name_key` of ASCII text, given as one run of letters and digits and as its words."""
     known = [a for a in awards if a.isascii()]
-    spaced = F.trim(F.regexp_replace(F.translate(F.lower(c), ".", ""), "[^a-z0-9]+", " "))
-    flat, words = F.translate(spaced, " ", ""), F.split(spaced, " ")
     keyed = F.concat(flat, F.lit("|"))
     for back in (False, True):  # what is tried first is put on last
         for n in reversed(range(1, max(map(len, known), default=0) + 1)):
@@ -139,15 +137,16 @@ def _ascii_url(c: Column) -> Column:
     return F.concat(_flat(F.substring_index(c, "?", 1)), F.lit("?"), F.when(query == "", "").otherwise(F.array_join(params, "&")))
 
 
-def program_key(awards: Sequence[str] = AWARDS) -> Column:
-    """A 128-bit key that rows of one programme share however it is written: university_id, program_name, source_url and
-    course_type apart from white space, case, punctuation, symbols, accent composition, the award's place and the order
-    of query parameters. Null equals only null; an empty text isn't null. Rows in ASCII are read by Spark's own
-    functions; only the others go to Python, by the same rules."""
-    u, n, s, c = (F.col(x).cast("string") for x in ("university_id", "program_name", "source_url", "course_type"))
-    plain = F.lit(True)
-    for x in (n, s, c):
-        plain = plain & ~F.coalesce(x, F.lit("")).rlike(r"[^\x00-\x7F]")
+def with_program_key(programs: DataFrame, *columns: Column | str, awards: Sequence[str] = AWARDS) -> DataFrame:
+    """`key`, a 128-bit key that rows of one programme share however it is written, and the wanted columns: university_id,
+    program_name, source_url and course_type apart from white space, case, punctuation, symbols, accent composition, the
+    award's place and the order of query parameters. Null equals only null; an empty text isn't null. Rows in ASCII are read
+    by Spark's own functions, in steps so that each part is computed once; only the others go to Python, by the same rules."""
+    wanted = [F.col(c) if isinstance(c, str) else c for c in columns]
+    names = programs.select(*wanted).columns
+    rows = programs.select(*wanted, *[F.col(x).cast("string").alias(f"__{k}") for k, x in zip("unsc", ("university_id", "program_name", "source_url", "course_type"))])
+    u, n, s, c = (F.col(f"__{k}") for k in "unsc")
+    plain = ~F.concat_ws("", n, s, c).rlike(r"[^\x00-\x7F]")
 
     @F.pandas_udf(T.StringType())
     def written(u: pd.Series, n: pd.Series, s: pd.Series, c: pd.Series, plain: pd.Series) -> pd.Series:
@@ -155,10 +154,14 @@ def program_key(awards: Sequence[str] = AWARDS) -> Column:
         rows = zip(clean(u), clean(n), clean(s), clean(c), plain)
         return pd.Series([None if p else _canonical(*r, awards) for *r, p in rows], dtype=object)
 
-    other = written(*[F.when(~plain, x) for x in (u, n, s, c)], plain)
+    rows = rows.withColumn("__plain", plain)
+    p = F.col("__plain")
+    spaced = F.when(p, F.trim(F.regexp_replace(F.translate(F.lower(n), ".", ""), "[^a-z0-9]+", " ")))
+    rows = rows.withColumns({"__other": written(*[F.when(~p, x) for x in (u, n, s, c)], p), "__spaced": spaced})
+    rows = rows.withColumns({"__words": F.split("__spaced", " "), "__flat": F.translate("__spaced", " ", "")})
     part = lambda x, key: F.coalesce(F.concat(F.lit("+"), key), F.lit("-"))
-    text = F.concat_ws("\x1f", part(u, u), part(n, _ascii_name(n, awards)), part(s, _ascii_url(s)), part(c, _flat(c)))
-    return F.unhex(F.md5(F.coalesce(other, text)))
+    text = F.concat_ws("\x1f", part(u, u), part(n, _ascii_name(F.col("__flat"), F.col("__words"), awards)), part(s, _ascii_url(s)), part(c, _flat(c)))
+    return rows.select(F.unhex(F.md5(F.coalesce("__other", text))).alias("key"), *[F.col(x) for x in names])
 
 
 class Ledger:
@@ -218,9 +221,7 @@ def _prepared(programs: DataFrame, batches: int, buckets: int | None, keep: tupl
     spark = programs.sparkSession
     space = Workspace(spark, "ledger")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = programs.where(F.col("id").isNotNull()).select(
-        program_key().alias("key"), "id", *[F.col(c) for c in keep]
-    )
+    rows = with_program_key(programs.where(F.col("id").isNotNull()), "id", *keep)
     keyed = space.write(rows, "keyed")
     low, high = keyed.agg(F.min("id"), F.max("id")).first()
     ledger = Ledger(space, buckets, keep)
@@ -235,7 +236,7 @@ def collapse(programs: DataFrame, batches: int = 4, buckets: int | None = None)
     """One row per programme: first_id, copies (rows that describe it) and the fields of the row with the lowest id.
 
     The table arrives in `batches` ranges of id, each of which updates the ledger. Rows without id are left out (they
-    have no place in the order); other nulls are compared as in `program_key`. Rows that repeat an id count as copies. An
+    have no place in the order); other nulls are compared as in `with_program_key`. Rows that repeat an id count as copies. An
     empty table gives no rows. Further columns aren't read.
     """
     keep = ("university_id", "program_name", "source_url", "course_type")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkademia.llm.canonical import program_key
+from sparkademia.llm.canonical import with_program_key
 from sparkademia.operators.relational import top_per_group
 from sparkademia.session import Workspace
 
@@ -26,9 +26,9 @@ def _ranked(programs: DataFrame, with_online: bool) -> DataFrame:
     The ranking is a window of which two places are asked for, so Spark cuts each group to two rows a mapper before the
     shuffle, and a group with a third of all rows moves no more than that; what the whole group has are aggregates, combined
     before the shuffle. Both are spread by the key, so their join moves nothing. The keys are computed once and written."""
-    rows = programs.where(F.col("id").isNotNull()).select(
-        program_key().alias("key"),
-        F.col("id").alias("id"),
+    rows = with_program_key(
+        programs.where(F.col("id").isNotNull()),
+        "id",
         F.col("last_seen").alias("seen"),
         _trust(F.col("quality_flag")).alias("trust"),
         F.col("quality_flag").isNotNull().alias("flagged"),
@@ -53,7 +53,7 @@ def _ranked(programs: DataFrame, with_online: bool) -> DataFrame:
 def survivors(programs: DataFrame) -> DataFrame:
     """One row per programme: the surviving row's id and the group's best value of each field.
 
-    Rows are copies as in `canonical.program_key`. They are ranked by recency (last_seen, missing last), trust
+    Rows are copies as in `canonical.with_program_key`. They are ranked by recency (last_seen, missing last), trust
     (quality_flag high, low, missing), completeness and, as tie-break, the lowest id. Field by field: last_seen is the
     latest, quality_flag the most trusted, is_online that of the most trusted row (then latest, fullest, lowest id) that
     has one. `copies` counts the group's rows; `row_keeps_all` says whether the surviving row alone has every best value.
