@@ -51,10 +51,10 @@ def enabled_seeds(spark: SparkSession, d: str) -> DataFrame:
     return frontier.enabled(u).select("id", "url")
 
 
-@R.query("SELECT id FROM crawl_queue_state WHERE run_id = 3 AND depth = 1")
+@R.query("SELECT id FROM crawl_queue_state WHERE status = 'done' AND depth = 1")
 def optional_filters(spark: SparkSession, d: str) -> DataFrame:
     """Conditions that hold only where their parameter is given."""
-    return search.given(_q(spark, d), {"run_id": 3, "status": None, "depth": 1}).select("id")
+    return search.given(_q(spark, d), {"run_id": None, "status": "done", "depth": 1}).select("id")
 
 
 _SITES = """s AS (SELECT min(id) AS id, 'https://' || domain AS source_url, CASE WHEN count(*) FILTER (status = 'done') > 0 THEN ['https://' || domain] ELSE [] END AS roots
