@@ -5,44 +5,75 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, DateType, DecimalType, IntegralType, StringType
 
 TTL_30_DAYS = 30 * 24 * 3600
 
 
-def first_seen(tasks: DataFrame, key: str, time: str, ttl_sec: int = TTL_30_DAYS) -> DataFrame:
+def _pack(since: dict[str, int]) -> bytes:
+    """Keys and the times (microseconds) at which their lifetimes began, as a compressed Arrow stream."""
+    batch = pa.record_batch([pa.array(list(since), pa.large_string()), pa.array(list(since.values()), pa.int64())], ["key", "since"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> dict[str, int]:
+    t = pa.ipc.open_stream(packed).read_all()
+    return dict(zip(t["key"].to_pylist(), t["since"].to_pylist()))
+
+
+def first_seen(tasks: DataFrame, key: str, time: str, ttl_sec: int = TTL_30_DAYS, groups: int = 4096) -> DataFrame:
     """The rows of a stream whose key wasn't seen within the lifetime that began with its first sight; later sights don't
     extend it. Time is the rows' own; the watermark trails by the lifetime, so that state is dropped when it can't matter.
 
     Rows without key or time are dropped. Rows of one key and time count in arrival order.
+
+    A call of Python costs milliseconds however few rows it gets, so keys share `groups` states by their hash; each holds its
+    keys whole, so equal hashes don't matter. A task holds one group at a time: its living keys and the rows that a
+    micro-batch brings it. A micro-batch writes the states of the groups that it touches; with billions of living keys take
+    more groups. The number belongs to the checkpoint. Keys whose text may not tell them apart (floats, timestamps, binary,
+    nested, collated) have a state each.
     """
-    schema = tasks.schema
-    order = schema.names.index(time)
+    names, kind, ttl = tasks.columns, tasks.schema[key].dataType, ttl_sec * 1_000_000
+    text = kind == StringType()
+    shared = text or isinstance(kind, (IntegralType, DecimalType, DateType, BooleanType))
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        since = state.get[0] if state.exists else None
+        since = _unpack(state.get[0]) if state.exists else {}
         rows = pd.concat(list(frames), ignore_index=True)
-        rows = rows.sort_values(rows.columns[order], kind="stable")
-        sec = rows[rows.columns[order]].astype("datetime64[us]").astype("int64") / 1e6
+        at = rows["__at"].to_numpy()
+        order = at.argsort(kind="stable")
         kept = []
-        for i, t in zip(rows.index, sec):
-            if since is None or t >= since + ttl_sec:
-                since = float(t)
+        for i, k, t in zip(order.tolist(), rows[key if text else "__key"].to_numpy()[order].tolist(), at[order].tolist()):
+            began = since.get(k)
+            if began is None or t >= began + ttl:
+                since[k] = t
                 kept.append(i)
-        state.update((since,))
-        ends = int((since + ttl_sec) * 1000)
-        if ends > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(ends)
+        passed = state.getCurrentWatermarkMs() * 1000
+        since = {k: t for k, t in since.items() if t + ttl > passed}
+        if since:
+            state.update((_pack(since),))
+            state.setTimeoutTimestamp(-(-(max(since.values()) + ttl) // 1000))
+        elif state.exists:
+            state.remove()
         if kept:
-            yield rows.loc[kept]
+            yield rows.loc[kept, names]
 
     rows = tasks.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, f"{ttl_sec} seconds")
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "since double", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumn("__at", F.unix_micros(F.col(time).cast("timestamp")))
+    if not text:
+        rows = rows.withColumn("__key", F.col(key).cast("string") if shared else F.lit(""))
+    group = F.pmod(F.xxhash64(key), F.lit(groups)) if shared else F.col(key)
+    return rows.withColumn("__group", group).groupBy("__group").applyInPandasWithState(run, tasks.schema, "seen binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_seen_native(tasks: DataFrame, keys: list[str], time: str, ttl_sec: int = TTL_30_DAYS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import os
+import random
 
 import pandas as pd
 import pytest
@@ -335,6 +337,45 @@ def test_task_stream_first_seen(spark, tmp_path):
     assert sorted((r.k, r.t) for r in spark.read.parquet(out).collect()) == [("a", 0), ("a", 31 * day), ("b", 6)]
 
 
+def _first_seen(spark, tmp_path, batches, schema, key="k", ttl_sec=5 * 86400):
+    """First sights of batches that arrive one after another, and the stream's progress."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for n, rows in enumerate(batches):
+        (src / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(src / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)).withColumn("at", F.timestamp_seconds("t"))
+    out = str(tmp_path / "out")
+    q = state.first_seen(s, key, "at", ttl_sec).writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "c"))
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return spark.read.parquet(out), [json.loads(p.json)["stateOperators"][0] for p in q.recentProgress]
+
+
+def test_first_sights_share_states(spark, tmp_path):
+    rows = [dict(k=f"https://a.example/{n % 30_000}", t=1_700_000_000 + n // 30_000) for n in range(45_000)]
+    got, progress = _first_seen(spark, tmp_path, [rows], "k string, t long")
+    assert got.count() == 30_000 and got.where("t <> 1700000000").count() == 0
+    assert max(p["numRowsUpdated"] for p in progress) <= 4096  # not a call of Python for each key
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date", "decimal(9,2)", "double", "timestamp", "array<int>"])
+def test_first_sights_over_batches(spark, tmp_path, kind):
+    rng, day, start, ttl = random.Random(5), 86400, 1_700_000_000, 5 * 86400
+    value = {"date": lambda n: f"2026-01-{n + 1:02}", "timestamp": lambda n: f"2026-01-{n + 1:02}T00:00:00.{n:03}Z", "array<int>": lambda n: [n, 0]}.get(kind, lambda n: n)
+    batches = [[dict(n=n, k=None if n == 28 else value(n), t=start + rng.randrange(6 * i * day, (6 * i + 8) * day)) for n in rng.choices(range(29), k=150)] for i in range(4)]
+    batches.append([dict(n=0, k=value(0), t=start + 90 * day)])
+    want, since = [], {}
+    for b in batches:
+        for r in sorted(b, key=lambda r: r["t"]):
+            if r["n"] != 28 and (r["n"] not in since or r["t"] >= since[r["n"]] + ttl):
+                since[r["n"]] = r["t"]
+                want.append((r["n"], r["t"]))
+    got, progress = _first_seen(spark, tmp_path, batches, f"n int, k {kind}, t long")
+    assert sorted((r.n, r.t) for r in got.collect()) == sorted(want) and len(want) > 28 * 4
+    assert progress[-1]["numRowsTotal"] == 1  # only the last batch's key is alive
+
+
 @pytest.mark.parametrize("failures_only", [False, True])
 def test_queue_log(spark, tmp_path, failures_only):
     src = tmp_path / "in"
